@@ -217,3 +217,17 @@ def components(docs: DataFrame, distance: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: of its smallest doc_id, one row (of equal ids the smallest text, of equal rows any)."""
+    found = materialise(components(docs).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "groups")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(keep, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    # a doc_id is a key; where rows repeat one, a single row of it stays
+    again = found.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").limit(1).count()
+    if not again:
+        return rows
+    names = docs.columns
+    least = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(F.col("text").alias("__first"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))).alias("__least"))
+    return least.select("__least.__row.*").select(*[F.col(f"`{c}`") for c in names])

@@ -1 +1,251 @@
-"""To come."""
+"""Queries: traversal, components, centrality, corridors, cuts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import cuts as K
+from ..operators import graph as G
+from ..sources.storage import stored
+from .fixtures import Tables
+from .registry import query
+
+BFS = "bfs(node, d) AS (SELECT node, 0 FROM {start} UNION SELECT {to}, d + 1 FROM bfs JOIN edges ON {frm} = node WHERE d < {cap})"
+UP = BFS.format(start="seeds", to="src", frm="dst", cap=4)
+DOWN = BFS.format(start="seeds", to="dst", frm="src", cap=30)
+
+
+@query("G1 J21 O12", f"WITH {UP} SELECT node, (min(d) + 1)::BIGINT AS tier FROM bfs GROUP BY node")
+def upstream_tiers(t: Tables) -> DataFrame:
+    return G.tiers(t.pairs, t.seeds, 5).select("node", F.col("tier").cast("long").alias("tier"))
+
+
+@query("G1", f"WITH {UP} SELECT src, dst FROM edges WHERE src IN (SELECT node FROM bfs) AND dst IN (SELECT node FROM bfs)")
+def upstream_induced_edges(t: Tables) -> DataFrame:
+    return G.within(t.pairs, stored(G.tiers(t.pairs, t.seeds, 5)))
+
+
+@query("G2", """WITH a(node, d) AS (SELECT node, 1 FROM seeds UNION SELECT src, d + 1 FROM a JOIN edges ON dst = node WHERE d < 30),
+b(node, d) AS (SELECT node, 1 FROM seeds UNION SELECT src, d + 1 FROM b JOIN edges ON dst = node AND is_disclosed = 1 WHERE d < 30),
+x AS (SELECT node, min(d) AS tier FROM a GROUP BY node), y AS (SELECT node, min(d) AS tier FROM b GROUP BY node)
+SELECT x.node, CASE WHEN x.node IN (SELECT node FROM anchors) THEN 0 ELSE x.tier END::BIGINT AS any_tier, y.tier::BIGINT AS disclosed_tier FROM x LEFT JOIN y ON x.node = y.node""")
+def evidence_tiers(t: Tables) -> DataFrame:
+    a = G.tiers(t.pairs, t.seeds, None).withColumnRenamed("tier", "any_tier")
+    b = G.tiers(t.edges.where("is_disclosed = 1"), t.seeds, None).withColumnRenamed("tier", "disclosed_tier")
+    part = t.anchors.select("node", F.lit(True).alias("part"))
+    x = a.join(b, "node", "left").join(part, "node", "left")
+    return x.select("node", F.when(F.col("part"), 0).otherwise(F.col("any_tier")).cast("long").alias("any_tier"), F.col("disclosed_tier").cast("long").alias("disclosed_tier"))
+
+
+@query("G3 G19", f"WITH {DOWN}, m AS (SELECT node, min(d) AS d FROM bfs GROUP BY node) SELECT n.node, coalesce(m.d, -1)::BIGINT AS dist FROM nodes n LEFT JOIN m ON n.node = m.node")
+def source_distances(t: Tables) -> DataFrame:
+    return G.all_distances(t.nodes, G.distances(t.pairs, t.seeds)).select("node", F.col("dist").cast("long").alias("dist"))
+
+
+@query("G19", "SELECT 0::BIGINT AS without_predecessor")
+def distance_certificate(t: Tables) -> DataFrame:
+    dist = stored(G.distances(t.pairs, t.seeds))
+    return G.certificate(t.pairs, dist).agg(F.count("*").alias("without_predecessor"))
+
+
+@query("G4 G21", """WITH r(node) AS (SELECT node FROM seeds UNION SELECT dst FROM r JOIN edges ON src = r.node JOIN nodes n ON dst = n.node WHERE n.balance > 0) SELECT node FROM r""")
+def restricted_reach(t: Tables) -> DataFrame:
+    allowed = t.nodes.where("balance > 0").select("node")
+    return G.distances(t.pairs.join(allowed, F.col("dst") == F.col("node"), "left_semi"), t.seeds).select("node")
+
+
+@query("G5 H7", """WITH b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), k(anchor, node, d) AS (SELECT node, node, 0 FROM seeds UNION SELECT anchor, dst, d + 1 FROM k JOIN b ON src = k.node WHERE d < 3)
+SELECT anchor, node, min(d)::BIGINT AS dist FROM k GROUP BY 1, 2""")
+def seed_neighbourhoods(t: Tables) -> DataFrame:
+    return G.reach_pairs(G.undirected(t.pairs), t.seeds, 3).select("anchor", "node", F.col("dist").cast("long").alias("dist"))
+
+
+@query("G6 G7", """WITH b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), f AS (SELECT DISTINCT x.src, y.dst FROM b x JOIN b y ON x.dst = y.src WHERE x.src <> y.dst),
+r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.src = f.src AND b.dst = f.dst)) SELECT src, dst FROM r WHERE n <= 10""")
+def exact_two_hop(t: Tables) -> DataFrame:
+    return G.two_hop(t.pairs, 10)
+
+
+@query("G8 G9 G10 G12 G14", """WITH k(anchor, node, d) AS (SELECT node, node, 0 FROM anchors UNION SELECT anchor, src, d + 1 FROM k JOIN edges ON dst = k.node WHERE d < 4), p AS (SELECT anchor, node, min(d) AS d FROM k GROUP BY 1, 2)
+SELECT node, count(*) FILTER (d <= 1) AS within_1, count(*) FILTER (d <= 2) AS within_2, count(*) FILTER (d <= 4) AS within_4 FROM p GROUP BY node""")
+def anchor_support(t: Tables) -> DataFrame:
+    return G.support(G.reach_pairs(G.flipped(t.pairs), t.anchors, 4), [1, 2, 4])
+
+
+@query("G9 G13", """WITH k(anchor, node, d) AS (SELECT node, node, 0 FROM anchors UNION SELECT anchor, src, d + 1 FROM k JOIN edges ON dst = k.node WHERE d < 4), p AS (SELECT DISTINCT anchor, node FROM k)
+SELECT anchor, count(*) AS n, count(*) FILTER (segment = 'BUILDING') AS n_building, round(sum(greatest(balance, 0)), 2) AS weight FROM p JOIN nodes USING (node) GROUP BY anchor""")
+def anchor_upstream_profile(t: Tables) -> DataFrame:
+    p = G.reach_pairs(G.flipped(t.pairs), t.anchors, 4).join(t.nodes, "node")
+    return p.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("segment") == "BUILDING").alias("n_building"), F.round(F.sum(F.greatest("balance", F.lit(0.0))), 2).alias("weight"))
+
+
+COST = "CASE WHEN is_predicted = 1 AND is_disclosed = 0 AND is_shipping = 0 THEN 3 ELSE 1 END"
+
+
+@query("G11 P36", f"""WITH w(node, d) AS (SELECT node, 0 FROM seeds UNION SELECT dst, d + {COST} FROM w JOIN edges ON src = w.node WHERE d < 12) SELECT node, min(d)::DOUBLE AS dist FROM w WHERE d <= 12 GROUP BY node""")
+def weighted_distances(t: Tables) -> DataFrame:
+    e = t.edges.withColumn("cost", F.expr(COST).cast("double"))
+    return G.shortest(e, t.seeds, cap=12.0)
+
+
+@query("G15", """WITH u(node) AS (SELECT node FROM seeds UNION SELECT src FROM u JOIN edges ON dst = node), d(node) AS (SELECT node FROM anchors UNION SELECT dst FROM d JOIN edges ON src = node),
+k AS (SELECT node FROM u INTERSECT SELECT node FROM d), s AS (SELECT node FROM k UNION SELECT src FROM edges WHERE dst IN (SELECT node FROM anchors) UNION SELECT node FROM anchors UNION SELECT node FROM seeds) SELECT node FROM s""")
+def relevant_subgraph(t: Tables) -> DataFrame:
+    up, down = G.distances(G.flipped(t.pairs), t.seeds).select("node"), G.distances(t.pairs, t.anchors).select("node")
+    direct = t.pairs.join(t.anchors, F.col("dst") == F.col("node"), "left_semi").select(F.col("src").alias("node"))
+    return up.join(down, "node", "left_semi").union(direct).union(t.anchors.select("node")).union(t.seeds.select("node")).distinct()
+
+
+@query("G16")
+def expanded_tiers(t: Tables) -> DataFrame:
+    return G.expand_until(t.pairs, t.seeds, 10)
+
+
+@query("G17 G22", f"WITH {UP}, x AS (SELECT node, min(d) + 1 AS tier FROM bfs GROUP BY node) SELECT a.tier::BIGINT AS from_tier, b.tier::BIGINT AS to_tier, count(*) AS n, round(log10(1 + count(*)), 6) AS logged FROM edges JOIN x a ON src = a.node JOIN x b ON dst = b.node GROUP BY 1, 2")
+def tier_matrix(t: Tables) -> DataFrame:
+    x = stored(G.tiers(t.pairs, t.seeds, 5))
+    a, b = x.select(F.col("node").alias("src"), F.col("tier").cast("long").alias("from_tier")), x.select(F.col("node").alias("dst"), F.col("tier").cast("long").alias("to_tier"))
+    return t.pairs.join(a, "src").join(b, "dst").groupBy("from_tier", "to_tier").agg(F.count("*").alias("n"), F.round(F.log10(1 + F.count("*")), 6).alias("logged"))
+
+
+@query("G22", f"WITH {UP}, x AS (SELECT node, min(d) + 1 AS tier FROM bfs GROUP BY node), n AS (SELECT tier, count(*) AS n FROM x GROUP BY tier) SELECT tier::BIGINT AS tier, n, round(sum(n) OVER (ORDER BY tier) / sum(n) OVER (), 6) AS ecdf FROM n")
+def tier_ecdf(t: Tables) -> DataFrame:
+    n = G.tiers(t.pairs, t.seeds, 5).groupBy(F.col("tier").cast("long").alias("tier")).agg(F.count("*").alias("n"))
+    return n.withColumn("ecdf", F.round(F.sum("n").over(Window.orderBy("tier")) / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query("G18")
+def shortest_simple_paths(t: Tables) -> DataFrame:
+    return G.simple_paths(t.pairs, t.seeds, t.anchors, 4, 25).select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), F.col("hops").cast("long").alias("hops"))
+
+
+@query("G20", f"WITH a AS (WITH RECURSIVE {BFS.format(start='seeds', to='src', frm='dst', cap=3)} SELECT count(DISTINCT node) AS n FROM bfs), b AS (WITH RECURSIVE {BFS.format(start='seeds', to='dst', frm='src', cap=3)} SELECT count(DISTINCT node) AS n FROM bfs) SELECT a.n AS upstream, b.n AS downstream FROM a, b")
+def direction_check(t: Tables) -> DataFrame:
+    up = G.distances(G.flipped(t.pairs), t.seeds, 3).agg(F.count("*").alias("upstream"))
+    return up.join(G.distances(t.pairs, t.seeds, 3).agg(F.count("*").alias("downstream")))  # one row each
+
+
+@query("G23", """WITH a AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges UNION SELECT node, node FROM nodes), d AS (SELECT src, count(*) AS d FROM a GROUP BY src)
+SELECT a.src, a.dst, round(1 / sqrt(x.d * y.d), 6) AS w FROM a JOIN d x ON a.src = x.src JOIN d y ON a.dst = y.src""")
+def normalised_adjacency(t: Tables) -> DataFrame:
+    return G.normalised_adjacency(t.nodes, t.pairs).withColumn("w", F.round("w", 6))
+
+
+@query("G24")
+def ego_sample(t: Tables) -> DataFrame:
+    w = Window.partitionBy("tier").orderBy(F.xxhash64("node"), "node")
+    return G.tiers(t.pairs, t.seeds, 4).withColumn("n", F.row_number().over(w)).where("n <= 20").select("node", F.col("tier").cast("long").alias("tier"))
+
+
+# --- structure ----------------------------------------------------------------------------------------------
+
+
+@query("C1 S10 K7 V4", "WITH o AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), i AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1) SELECT node, coalesce(o.n, 0)::BIGINT AS out_degree, coalesce(i.n, 0)::BIGINT AS in_degree, (coalesce(o.n, 0) + coalesce(i.n, 0))::BIGINT AS degree FROM nodes LEFT JOIN o ON node = src LEFT JOIN i ON node = dst")
+def degrees(t: Tables) -> DataFrame:
+    return G.degrees(t.nodes, t.pairs)
+
+
+WCC = "{e}b AS (SELECT src, dst FROM {v} UNION SELECT dst, src FROM {v}), r(node, x) AS (SELECT node, node FROM nodes UNION SELECT b.dst, x FROM r JOIN b ON b.src = r.node AND x < b.dst), c AS (SELECT node, min(x) AS component FROM r GROUP BY node)"
+SHIP = "ship AS (SELECT src, dst FROM edges WHERE is_shipping = 1 AND is_disclosed = 0), "
+
+
+@query("C2", f"WITH {WCC.format(e=SHIP, v='ship')} SELECT component, count(*) AS n FROM c GROUP BY component")
+def weak_component_sizes(t: Tables) -> DataFrame:
+    e = t.edges.where("is_shipping = 1 AND is_disclosed = 0")
+    return G.weak_components(t.nodes, e).groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query("C3", """WITH e AS (SELECT src, dst FROM edges WHERE is_disclosed = 1), r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src), s AS (SELECT x.a, min(x.b) AS m FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT node, coalesce(least(m, node), node) AS component FROM nodes LEFT JOIN s ON node = a""")
+def strong_components(t: Tables) -> DataFrame:
+    return G.strong_components(t.nodes, t.edges.where("is_disclosed = 1")).select("node", "component")
+
+
+@query("C4")
+def core_numbers(t: Tables) -> DataFrame:
+    return G.core_numbers(t.pairs)
+
+
+@query("C5 V8", "SELECT 'disclosed' AS view, count(*) AS n, count(DISTINCT src) AS n_src FROM edges WHERE is_disclosed = 1 UNION ALL SELECT 'observed', count(*), count(DISTINCT src) FROM edges WHERE is_disclosed = 1 OR is_shipping = 1 UNION ALL SELECT 'full', count(*), count(DISTINCT src) FROM edges")
+def view_summary(t: Tables) -> DataFrame:
+    views = F.array_compact(F.array(F.lit("full"), F.when(F.col("is_disclosed") == 1, "disclosed"), F.when((F.col("is_disclosed") == 1) | (F.col("is_shipping") == 1), "observed")))
+    return t.edges.withColumn("view", F.explode(views)).groupBy("view").agg(F.count("*").alias("n"), F.countDistinct("src").alias("n_src"))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ["s AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS p FROM edges)", "n AS (SELECT count(*)::DOUBLE AS n FROM nodes)", "r0 AS (SELECT node, 1 / n AS r FROM nodes, n)"]
+    for i in range(rounds):
+        steps.append(f"f{i} AS (SELECT dst, sum(r * p) AS f FROM r{i} JOIN s ON src = node GROUP BY dst)")
+        steps.append(f"d{i} AS (SELECT coalesce(sum(r), 0) AS d FROM r{i} WHERE node NOT IN (SELECT src FROM s))")
+        steps.append(f"r{i + 1} AS (SELECT node, 0.85 * (coalesce(f, 0) + d / n) + 0.15 / n AS r FROM r{i} LEFT JOIN f{i} ON node = dst, d{i}, n)")
+    return f"WITH {', '.join(steps)} SELECT node, round(r / (SELECT sum(r) FROM r{rounds}), 8) AS rank FROM r{rounds}"
+
+
+@query("C6 C7 H3", _pagerank_sql(5))
+def pagerank_five_rounds(t: Tables) -> DataFrame:
+    return G.pagerank(t.nodes, t.pairs, rounds=5, tolerance=0.0).withColumn("rank", F.round("rank", 8))
+
+
+@query("C8")
+def hits_scores(t: Tables) -> DataFrame:
+    return G.hits(t.nodes, t.pairs, 4).select("node", F.round("authority", 8).alias("authority"), F.round("hub", 8).alias("hub"))
+
+
+@query("C9")
+def eigenvector_scores(t: Tables) -> DataFrame:
+    return G.eigenvector(t.nodes, t.pairs, 5).withColumn("v", F.round("v", 8))
+
+
+@query("C10")
+def betweenness_scores(t: Tables) -> DataFrame:
+    return G.betweenness(t.pairs, t.seeds).withColumn("score", F.round("score", 6))
+
+
+@query("C11", """WITH b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), d AS (SELECT src, count(*) AS d FROM b GROUP BY src), t AS (SELECT x.src, count(*) // 2 AS t FROM b x JOIN b y ON x.dst = y.src JOIN b z ON y.dst = z.src AND z.dst = x.src GROUP BY x.src)
+SELECT d.src AS node, coalesce(t, 0)::BIGINT AS triangles, round(CASE WHEN d > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN t ON d.src = t.src""")
+def clustering(t: Tables) -> DataFrame:
+    return G.triangles(t.pairs).withColumn("clustering", F.round("clustering", 6))
+
+
+@query("C12 C13 C14 T13")
+def cut_nodes_and_bridges(t: Tables) -> DataFrame:
+    return K.seams(t.pairs, G.weak_components(t.nodes, t.pairs))
+
+
+@query("C15")
+def seam_summary(t: Tables) -> DataFrame:
+    s = K.seams(t.pairs, G.weak_components(t.nodes, t.pairs))
+    return s.groupBy("kind").agg(F.count("*").alias("n"), F.percentile("second", F.lit(0.5)).alias("median"), F.percentile("second", F.lit(0.95)).alias("p95"), F.max("second").alias("max"), F.count_if(F.col("second") >= 2).alias("at_least_2"), F.count_if(F.col("second") >= 5).alias("at_least_5"))
+
+
+@query("C16")
+def dominating_nodes(t: Tables) -> DataFrame:
+    x = K.dominators(t.pairs, t.seeds, G.weak_components(t.nodes, t.pairs))
+    return x.groupBy("dominator").agg(F.count("*").alias("n"))
+
+
+@query("C17")
+def minimum_cuts(t: Tables) -> DataFrame:
+    return K.min_cuts(t.pairs, t.seeds, t.anchors, G.weak_components(t.nodes, t.pairs))
+
+
+@query("C18", f"WITH {WCC.format(e=SHIP, v='ship')}, x AS (SELECT a.component AS ca, b.component AS cb FROM edges JOIN c a ON src = a.node JOIN c b ON dst = b.node WHERE a.component <> b.component), u AS (SELECT ca AS component, 0 AS i, 1 AS o FROM x UNION ALL SELECT cb, 1, 0 FROM x) SELECT component, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out, (sum(i) * sum(o))::BIGINT AS gate FROM u GROUP BY component")
+def component_gates(t: Tables) -> DataFrame:
+    return G.boundary(t.pairs, G.weak_components(t.nodes, t.edges.where("is_shipping = 1 AND is_disclosed = 0")))
+
+
+@query("C19 C20 C21 C22", f"""WITH {DOWN}, m AS (SELECT node, min(d) AS d FROM bfs GROUP BY node), o AS (SELECT src, dst FROM edges JOIN m a ON src = a.node JOIN m b ON dst = b.node WHERE a.d + 1 = b.d),
+u AS (SELECT dst AS node, 1 AS i, 0 AS o FROM o UNION ALL SELECT src, 0, 1 FROM o), l AS (SELECT node, sum(i) AS lanes_in, sum(o) AS lanes_out FROM u GROUP BY node)
+SELECT node, lanes_in::BIGINT AS lanes_in, lanes_out::BIGINT AS lanes_out, least(lanes_in, lanes_out)::BIGINT AS redundancy, round(1.0 / greatest(lanes_in, 1) / (1 + d), 6) AS bottleneck FROM l JOIN m USING (node)""")
+def geodesic_lanes(t: Tables) -> DataFrame:
+    dist = stored(G.distances(t.pairs, t.seeds))
+    x = G.lanes(t.pairs, dist, F.lit(1.0)).join(dist, "node")
+    return x.select("node", "lanes_in", "lanes_out", F.least("lanes_in", "lanes_out").alias("redundancy"), F.round(1.0 / F.greatest("lanes_in", F.lit(1)) / (1 + F.col("dist")), 6).alias("bottleneck"))
+
+
+@query("C23 A8", f"WITH {WCC.format(e=SHIP, v='ship')} SELECT a.component AS src, b.component AS dst, count(*) AS n, max(is_disclosed)::BIGINT AS is_disclosed FROM edges e JOIN c a ON e.src = a.node JOIN c b ON e.dst = b.node WHERE a.component <> b.component AND NOT EXISTS (SELECT 1 FROM ship s WHERE s.src = e.src AND s.dst = e.dst) GROUP BY 1, 2")
+def identity_collapse(t: Tables) -> DataFrame:
+    same = t.edges.where("is_shipping = 1 AND is_disclosed = 0")
+    _, e = G.collapsed(t.edges.select("src", "dst", F.col("is_disclosed").cast("long").alias("is_disclosed")), same)
+    return e

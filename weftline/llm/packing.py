@@ -48,6 +48,7 @@ class WordEncoder:
     #: The splitter of the vocabulary file for lower-case Latin letters, digits and the rest (fixed by the file).
     SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµº²³¹¼-¾À-ÖØ-öø-ɏ]+")
     BEYOND = re.compile(r"[^!-~¡-ɏ]|[­İ]")
+    CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
     BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
     def __init__(self, path: str, remember: int = 400_000) -> None:
@@ -79,10 +80,11 @@ class WordEncoder:
             word = unicodedata.normalize("NFC", word)
         if self.BEYOND.search(word):
             return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self._part, self.SPLIT.findall(word.lower())))
+        parts = self.SPLIT.findall(word.lower())
+        return self._part(parts[0]) if len(parts) == 1 else b"".join([self._part(p) for p in parts])
 
     def __call__(self, text: str) -> bytes:
-        if "\x00" <= min(text, default=" ") < " " and self.BLANK.sub("", text) and re.search(r"[\x00-\x08\x0e-\x1f]", text):
+        if self.CONTROL.search(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         known, words = self.words, self.BLANK.split(text) if "\x0b" in text or "\x0c" in text else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         for w in set(words).difference(known):

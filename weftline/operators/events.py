@@ -50,7 +50,7 @@ def overlap_dedup(df: DataFrame, keys: Sequence[str], start: str, end: Column, t
         return F.when(F.exists(kept, clashes), kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = F.aggregate("all", F.slice("all", 1, 0), fold)
-    return gathered.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.id").alias(tie), F.date_from_unix_date("k.s").alias(start), F.col("k.e").alias("end_day"))
+    return gathered.select(*keys, F.explode(kept).alias("__k")).select(*keys, F.col("__k.id").alias(tie), F.date_from_unix_date("__k.s").alias(start), F.col("__k.e").alias("end_day"))
 
 
 def entity_index(ids: DataFrame, raw: str = "raw_id") -> DataFrame:

@@ -102,7 +102,7 @@ def pair_heuristics(t: Tables) -> DataFrame:
     return x.select("src", "dst", "common", *[F.round(c, 6).alias(c) for c in ("adamic_adar", "allocation", "jaccard", "cosine")], "attachment")
 
 
-@query("H2", "WITH w1 AS (SELECT node AS s, dst AS pos, 1.0 AS n FROM seeds JOIN edges ON src = node), w2 AS (SELECT s, dst AS pos, sum(n) AS n FROM w1 JOIN edges ON src = pos GROUP BY 1, 2), w3 AS (SELECT s, dst AS pos, sum(n) AS n FROM w2 JOIN edges ON src = pos GROUP BY 1, 2), u AS (SELECT s, pos, n * 0.01 AS k FROM w1 UNION ALL SELECT s, pos, n * 0.0001 FROM w2 UNION ALL SELECT s, pos, n * 0.000001 FROM w3) SELECT s AS src, pos AS dst, round(sum(k)::DOUBLE, 9) AS katz FROM u GROUP BY 1, 2")
+@query("H2", "WITH w1 AS (SELECT node AS s, dst AS pos, 1.0::DOUBLE AS n FROM seeds JOIN edges ON src = node), w2 AS (SELECT s, dst AS pos, sum(n) AS n FROM w1 JOIN edges ON src = pos GROUP BY 1, 2), w3 AS (SELECT s, dst AS pos, sum(n) AS n FROM w2 JOIN edges ON src = pos GROUP BY 1, 2), u AS (SELECT s, pos, n * 1e-2 AS k FROM w1 UNION ALL SELECT s, pos, n * 1e-4 FROM w2 UNION ALL SELECT s, pos, n * 1e-6 FROM w3) SELECT s AS src, pos AS dst, round(sum(k)::DOUBLE, 9) AS katz FROM u GROUP BY 1, 2")
 def katz_scores(t: Tables) -> DataFrame:
     return R.katz(t.pairs, t.seeds).withColumn("katz", F.round("katz", 9))
 

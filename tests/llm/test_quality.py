@@ -60,7 +60,7 @@ def test_base_counts():
     assert quality.base_counts(None) == (0, 0, 0, 0, 0)
 
 
-@pytest.mark.parametrize("block", [8_000_000, 50])
+@pytest.mark.parametrize("block", [4_000_000, 50])
 def test_scores_equal_brute_force(spark, block):
     rng = random.Random(1)
     texts = TEXTS + [" ".join(rng.choice(["the", "thing", "oth", "é1", "Zw"]) for _ in range(rng.randint(1, 90))) for _ in range(30)]

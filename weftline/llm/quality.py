@@ -6,7 +6,7 @@ n-grams with their counts) and derives the lower orders' continuation counts,
 the three discounts of each order and the interpolated probabilities with
 aggregates and joins. As every scored n-gram was counted, a score needs
 the highest order alone. Its log-probabilities go to the executors as sorted arrays of
-hashes, in blocks of at most ``block_grams`` n-grams (12 bytes each): a model over
+hashes, in blocks of about ``block_grams`` n-grams (12 bytes each): a model over
 that size is scored in as many passes as it has blocks, so what is
 broadcast never exceeds one block.
 
@@ -33,7 +33,7 @@ from .common import F, U64, arrow_schema, materialise, mix, text_key
 
 ORDER = 5
 LOW, HIGH = 9.0, 6.0
-BLOCK_GRAMS = 8_000_000
+BLOCK_GRAMS = 4_000_000
 SYMBOLS = "#*$%&|<>"
 START = 2  # stands before a text's first character
 _BITS = 60 // ORDER
@@ -229,16 +229,29 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("lang", F.col("low").alias("gram"), F.log2("q").alias("logp"))
 
 
+def hashed(model: DataFrame) -> DataFrame:
+    """h, logp: the n-grams as the hashes that a text's windows get, computed on the executors."""
+    schema = pa.schema([("h", pa.int64()), ("logp", pa.float32())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le", "replace"), np.uint32).reshape(-1, ORDER).astype(U64)
+                langs = batch.column(0).to_pylist()
+                salts = {x: _salt(x) for x in set(langs)}
+                h = _hashes(tuple(codes[:, k] for k in range(ORDER)), np.array([salts[x] for x in langs], U64))
+                yield pa.record_batch([pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], schema=schema)
+
+    return model.select("lang", "gram", "logp").mapInArrow(run, "h long, logp float")
+
+
 class Model:
     """One block of the model: hashes in ascending order, the log-probability of each, and where each prefix of hash bits starts."""
 
     def __init__(self, table: pa.Table) -> None:
-        grams, langs = table.column("gram").to_pylist(), table.column("lang").to_pylist()
-        codes = np.frombuffer("".join(grams).encode("utf-32-le"), np.uint32).reshape(-1, ORDER).astype(U64)
-        salts = {x: _salt(x) for x in set(langs)}
-        h = _hashes(tuple(codes[:, k] for k in range(ORDER)), np.array([salts[x] for x in langs], U64))
+        h = table.column("h").to_numpy().view(U64)
         order = np.argsort(h)
-        self.hashes, self.logp = h[order], table.column("logp").to_numpy().astype(np.float32)[order]
+        self.hashes, self.logp = h[order], table.column("logp").to_numpy()[order]
         self.shift = max(1, 64 - max(1, int(len(h)).bit_length()))
         starts = np.searchsorted(self.hashes >> U64(self.shift), np.arange((1 << (64 - self.shift)) + 1, dtype=U64))
         self.starts = starts.astype(np.int32)
@@ -271,7 +284,7 @@ def scores(docs: DataFrame, model: DataFrame, block_grams: int = BLOCK_GRAMS) ->
 
     def scored(block: int) -> DataFrame:
         part = model if blocks == 1 else model.where(F.pmod(F.xxhash64("lang", "gram"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast(Model(part.toArrow()))
+        held = spark.sparkContext.broadcast(Model(hashed(part).toArrow()))
 
         def run(batches):
             score = held.value

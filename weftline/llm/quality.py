@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 
-from .common import F, U64, arrow_schema, materialise, mix, text_key
+from .common import F, U64, arrow_schema, materialise, mix, text_key, tidy
 
 ORDER = 5
 LOW, HIGH = 9.0, 6.0
@@ -203,7 +203,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram, logp (log2) of every n-gram of the highest order: modified Kneser-Ney, interpolated."""
     levels = {order: counts}
     for n in range(order - 1, 0, -1):
-        levels[n] = levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c"))
+        levels[n] = materialise(levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), f"level{n}")
     below = None
     for n in range(1, order + 1):
         at = levels[n].withColumn("ctx", F.substring("gram", 1, n - 1)).withColumn("low", F.substring("gram", 2, n - 1))
@@ -225,7 +225,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             p = p.withColumn("p", main + F.col("gamma") / F.col("types"))
         else:
             p = p.join(below, ["lang", "low"]).withColumn("p", main + F.col("gamma") * F.col("q"))
-        below = p.select("lang", F.col("gram").alias("low"), F.col("p").alias("q"))
+        below = materialise(p.select("lang", F.col("gram").alias("low"), F.col("p").alias("q")), f"p{n}")
+        tidy(counts.sparkSession)
     return below.select("lang", F.col("low").alias("gram"), F.log2("q").alias("logp"))
 
 
@@ -337,7 +338,9 @@ def bands(scored: DataFrame, low: float = LOW, high: float = HIGH, step: float =
 
 def assess(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """The base counts, base_failed, bits_per_word and kept of every document, with its text key."""
-    model = materialise(kneser_ney(materialise(count_grams(docs), "grams")), "model")
+    grams = materialise(count_grams(docs), "grams")
+    tidy(docs.sparkSession)
+    model = kneser_ney(grams)
     rows = scores(docs, model, block_grams)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("bits_per_word", F.col("bits") / F.greatest("n_words", F.lit(1)))

@@ -76,7 +76,7 @@ l AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distin
 b AS (SELECT l.source, list(line) AS lines FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
       WHERE n >= 10 AND n * 10 >= pages AND regexp_matches(line, '[^\s]') GROUP BY l.source),
 d AS (SELECT doc_id, string_split(text, chr(10)) AS own, coalesce(b.lines, []) AS lines FROM documents x LEFT JOIN b ON x.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, coalesce(len(own), 0)::BIGINT AS n_lines, coalesce(len(list_filter(own, x -> list_contains(lines, x))), 0)::BIGINT AS n_dropped,
-       sha256(coalesce(array_to_string(list_filter(own, x -> NOT list_contains(lines, x)), chr(10)), '')) AS kept_sha256
+SELECT doc_id, coalesce(len(own), 0)::BIGINT AS n_lines, coalesce(len(list_filter(own, lambda x: list_contains(lines, x))), 0)::BIGINT AS n_dropped,
+       sha256(coalesce(array_to_string(list_filter(own, lambda x: NOT list_contains(lines, x)), chr(10)), '')) AS kept_sha256
 FROM d
 """

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs as X
-from weftline.operators import cuts, decisions, events, graph, ranking, resolve, tables
+from weftline.operators import cuts, decisions, embeddings, events, graph, ranking, resolve, tables
 from weftline.plans import registry
 from weftline.sources import readers, sinks
 from weftline.streaming import incremental
@@ -209,6 +209,20 @@ def test_sources_and_sinks(spark, tmp_path):
     assert len(both) == 10 and both[0].x == 0 and both[-1].x == 99
 
 
+def test_axes_and_alignment(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 4)) * [3, 2, 1, 0.5] + 1
+    q, _ = np.linalg.qr(rng.normal(size=(4, 4)))
+    df = spark.createDataFrame([(i, a.tolist(), (a @ q).tolist()) for i, a in enumerate(x)], "id long, a array<double>, b array<double>")
+    got = np.array([r.aligned for r in embeddings.aligned(df, "a", "b").orderBy("id").collect()])
+    assert np.allclose(got, x @ q)
+    p = np.array([r.projected for r in embeddings.principal(df, "a", 2).orderBy("id").collect()])
+    u, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(p), np.abs((u * s)[:, :2]))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     src = "/root/testdata/sf0.001/events.parquet"
     batch = spark.read.parquet(src)

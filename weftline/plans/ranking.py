@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import embeddings as M
 from ..operators import graph as G
 from ..operators import ranking as R
+from ..sources.readers import only_ids, parquet
 from .fixtures import Tables
 from .registry import query
 
@@ -155,3 +157,26 @@ def rank_correlation(t: Tables) -> DataFrame:
     x = t.scores.groupBy("dst").agg(F.sum("points").alias("a"), F.count("*").alias("b"))
     return spearman(x, "a", "b").select(F.round("spearman", 6).alias("spearman"))
 
+
+
+@query("H14")
+def embedding_axes(t: Tables) -> DataFrame:
+    return M.principal(t.embeddings, "embedding", 2).select("vec_id", *[F.round(F.get("projected", F.lit(i)), 5).alias(f"axis{i + 1}") for i in (0, 1)])
+
+
+@query("C24 O3", """WITH n AS (SELECT label, points, count(*) AS n FROM scores GROUP BY 1, 2) SELECT label::BIGINT AS label, count(*) AS distinct_scores, count(*) FILTER (n > 1) AS tied_scores, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS tied_rows, max(n) AS largest_tie FROM n GROUP BY label""")
+def tie_blocks(t: Tables) -> DataFrame:
+    n = t.scores.groupBy("label", "points").agg(F.count("*").alias("n"))
+    tied = F.col("n") > 1
+    return n.groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("distinct_scores"), F.count_if(tied).alias("tied_scores"), F.coalesce(F.sum(F.when(tied, F.col("n"))), F.lit(0)).alias("tied_rows"), F.max("n").alias("largest_tie"))
+
+
+@query("S3 S14", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def lines_of_finished_orders(t: Tables) -> DataFrame:
+    ids = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return only_ids(t.lineitem, ids, "l_orderkey").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+
+
+@query("S4 S5", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2")
+def pruned_scan(t: Tables) -> DataFrame:
+    return parquet(t.spark, f"{t.sf_dir}/orders.parquet", ["o_orderstatus", "o_orderpriority"]).groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))

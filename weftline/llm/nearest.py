@@ -38,6 +38,7 @@ CALIBRATION = 200
 RECALL = 0.97
 CELL_ROWS = 2048
 CELL_QUERIES = 512
+FIRST = 8  # leaves whose k-th best score bounds the search of the others
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -138,12 +139,24 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to the smaller id, the query's own id left out."""
-    s = np.where(ids == own, -np.inf, scores)
-    at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-    at = at[ids[at] != own]
-    return at[np.lexsort((ids[at], -s[at]))][:k]
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of one query with rows of x, in the order of summation of ``products``."""
+    return products(q[None, :], x)[0]
+
+
+def best(rough: np.ndarray, q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: int, k: int, bound: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of the k largest scores that reach the bound, ties to the smaller id, the query's own id left out.
+
+    ``rough`` are scores in any order of summation; whatever could be among the k by them is scored exactly.
+    """
+    s = np.where(ids == own, -np.inf, rough)
+    slack = 1e-9 * (1 + np.abs(q).sum() * np.abs(x).max(initial=0))
+    least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+    at = np.flatnonzero((s >= max(least, bound) - slack) & (ids != own))
+    score = exact(q, x[at])
+    order = np.lexsort((ids[at], -score))[:k]
+    order = order[score[order] >= bound]
+    return at[order], score[order]
 
 
 def fit(rows: DataFrame, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> Tree | None:
@@ -167,11 +180,11 @@ def calibrated_visits(rows: DataFrame, tree: Tree, k: int = K, queries: int = CA
         for batch in batches:
             if batch.num_rows:
                 own, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                leaf, s = tree.assign(x), products(q, x)
-                found = [best(s[i], own, ids[i], k) for i in range(len(q))]
-                at = np.concatenate(found)
-                query = np.repeat(np.arange(len(q)), [len(f) for f in found])
-                yield pa.record_batch([pa.array(query, pa.int32()), pa.array(own[at]), pa.array(s[query, at]), pa.array(leaf[at])], schema=schema)
+                leaf, s = tree.assign(x), q @ x.T
+                found = [best(s[i], q[i], x, own, ids[i], k) for i in range(len(q))]
+                at = np.concatenate([f for f, _ in found])
+                query = np.repeat(np.arange(len(q)), [len(f) for f, _ in found])
+                yield pa.record_batch([pa.array(query, pa.int32()), pa.array(own[at]), pa.array(np.concatenate([v for _, v in found])), pa.array(leaf[at])], schema=schema)
 
     w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     true = rows.select("vec_id", "x").mapInArrow(run, ddl).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query", "leaf").collect()
@@ -180,6 +193,35 @@ def calibrated_visits(rows: DataFrame, tree: Tree, k: int = K, queries: int = CA
     return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
 
+def _met(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: for every query and leaf that it visits, the k best rows of the leaf that reach the query's bound."""
+    # a row for each leaf of the tree at most, so a table of bounded size
+    sizes = index.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("nx")).join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("nq")), "leaf")
+    sizes = F.broadcast(sizes)
+
+    def dealt(side: DataFrame, own: str, other: str, a: str, b: str, *more: str) -> DataFrame:
+        side = side.join(sizes, "leaf").withColumn(a, F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
+        return side.select("leaf", a, F.explode(F.expr(f"sequence(0, {other} - 1)")).alias(b), "vec_id", "x", *more)
+
+    keys = ["leaf", "cx", "cq"]
+    x_side, q_side = dealt(index, "nx", "nq", "cx", "cq"), dealt(asked, "nq", "nx", "cq", "cx", "bound")
+    schema = arrow_schema("query_id long, vec_id long, score double")
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids, x = left.column("vec_id").to_numpy(), matrix(left.column("x"))
+        asked_ids, q, bound = right.column("vec_id").to_numpy(), matrix(right.column("x")), right.column("bound").to_numpy()
+        found = []
+        for at in range(0, len(q), 128):
+            s = q[at : at + 128] @ x.T
+            found += [best(s[i], q[at + i], x, ids, asked_ids[at + i], k, bound[at + i]) for i in range(len(s))]
+        at, scores = np.concatenate([f for f, _ in found]), np.concatenate([v for _, v in found])
+        return pa.table([pa.array(np.repeat(asked_ids, [len(f) for f, _ in found])), pa.array(ids[at]), pa.array(scores)], schema=schema)
+
+    return x_side.groupBy(*keys).cogroup(q_side.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the neighbours of each row whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
@@ -200,37 +242,17 @@ def search(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
                 part = batch.slice(at, 500)
                 found = [held.value.visits(v, visits) for v in matrix(part.column(1))]
                 take = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                yield pa.record_batch([part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(found) if found else [], pa.int64())], names=["vec_id", "x", "leaf"])
+                turn = [np.arange(len(f)) for f in found]
+                yield pa.record_batch([part.column(0).take(take), part.column(1).take(take), *[pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (found, turn)]], names=["vec_id", "x", "leaf", "turn"])
 
     ddl = "vec_id long, x array<float>, leaf long"
     index = materialise(rows.select("vec_id", "x").mapInArrow(to_leaf, ddl), "index")
-    asked = materialise(rows.where(F.col("vec_id") % every == 0).select("vec_id", "x").mapInArrow(to_visits, ddl), "visits")
-    # a row for each leaf of the tree at most, so a table of bounded size
-    sizes = index.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("nx")).join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("nq")), "leaf")
-    sizes = F.broadcast(sizes)
-
-    def dealt(side: DataFrame, own: str, other: str, a: str, b: str) -> DataFrame:
-        side = side.join(sizes, "leaf").withColumn(a, F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
-        return side.select("leaf", a, F.explode(F.expr(f"sequence(0, {other} - 1)")).alias(b), "vec_id", "x")
-
-    keys = ["leaf", "cx", "cq"]
-    x_side, q_side = dealt(index, "nx", "nq", "cx", "cq"), dealt(asked, "nq", "nx", "cq", "cx")
-    schema = arrow_schema("query_id long, vec_id long, score double")
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        ids, x = left.column("vec_id").to_numpy(), matrix(left.column("x"))
-        asked_ids, q = right.column("vec_id").to_numpy(), matrix(right.column("x"))
-        found, parts = [], []
-        for at in range(0, len(q), 128):
-            s = products(q[at : at + 128], x)
-            for i in range(len(s)):
-                top = best(s[i], ids, asked_ids[at + i], k)
-                found.append(ids[top])
-                parts.append(s[i][top])
-        return pa.table([pa.array(np.repeat(asked_ids, [len(f) for f in found])), pa.array(np.concatenate(found)), pa.array(np.concatenate(parts))], schema=schema)
-
-    pairs = x_side.groupBy(*keys).cogroup(q_side.groupBy(*keys)).applyInArrow(cell, "query_id long, vec_id long, score double")
+    asked = materialise(rows.where(F.col("vec_id") % every == 0).select("vec_id", "x").mapInArrow(to_visits, ddl + ", turn long"), "visits")
+    # the first leaves of a query bound what the others have to return
+    first = materialise(_met(index, asked.where(F.col("turn") < FIRST).withColumn("bound", F.lit(float("-inf"))), k), "first")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    bounds = first.withColumn("r", rank).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    rest = asked.where(F.col("turn") >= FIRST).join(bounds, "vec_id", "left").fillna(float("-inf"), subset=["bound"])
+    pairs = first.unionByName(_met(index, rest, k))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

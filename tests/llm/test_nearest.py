@@ -44,3 +44,34 @@ def test_what_takes_no_part(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.search(df).collect())
     assert got == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]
     assert nearest.search(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_a_third_of_all_rows_equal(spark, kind, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 60)
+    monkeypatch.setattr(nearest, "CELL_ROWS", 50)
+    monkeypatch.setattr(nearest, "CELL_QUERIES", 7)
+    x = np.random.default_rng(6).normal(size=(900, 8))
+    x = x.astype(np.float32) if kind == "float" else x
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    want, got = brute(np.arange(900), x), {}
+    for r in sorted(nearest.search(df).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(want)
+    for q in range(0, 900, 60):  # the copies among the queries have the copies of smallest vec_id
+        assert got[q] == want[q]
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_best_is_brute_force_whatever_the_blocks():
+    rng = np.random.default_rng(7)
+    x, q, ids = rng.integers(-2, 3, (60, 3)).astype(float), rng.integers(-2, 3, (9, 3)).astype(float), rng.permutation(60)
+    rough = nearest.without_own(q @ x.T, np.arange(9) * 10, ids)
+    r, c, score = nearest.best(rough, q, x, ids, 5)
+    for i in range(9):
+        s = nearest.products(q[i][None], x)[0]
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i * 10][:5]
+        assert c[r == i].tolist() == order and score[r == i].tolist() == s[order].tolist()
+    kept = nearest.few_copies(ids, np.repeat(x[:2], 30, axis=0), 5)
+    assert sorted(ids[kept]) == sorted([*sorted(ids[:30])[:6], *sorted(ids[30:])[:6]])

@@ -145,6 +145,19 @@ def test_overlap_fold(spark):
     assert sorted(r.id for r in events.overlap_dedup(df, ["k"], "s", F.col("e"), "id").collect()) == [1, 3, 4, 5]
 
 
+def test_first_of_each_key(spark):
+    rows = [(3, "a", None, 1.0), (1, "a", None, 2.0), (2, "a", 5, 0.5), (2, "a", 5, 0.5), (9, None, None, 0.1), (7, None, None, None), (7, None, None, 0.2)]
+    df = spark.createDataFrame(rows, "id long, k string, e long, v double")
+    assert sorted((tuple(r) for r in events.first_of_each(df, ["k", "e"], ["id"]).collect()), key=repr) == [(1, "a", None, 2.0), (2, "a", 5, 0.5), (7, None, None, None)]
+    assert sorted(r.k or "" for r in events.first_of_each(df.select("k"), ["k"]).collect()) == ["", "a"]
+    assert events.first_of_each(df.limit(0), ["k"], ["id"]).columns == df.columns
+
+
+def test_repeated_scores_count_once(spark):
+    base, scores = frame(spark, [(1, 2), (3, 4)]), spark.createDataFrame([(1, 2, 0.3), (1, 2, 0.7)], "src long, dst long, v double")
+    assert sorted(tuple(r) for r in tables.joined_scores(base, {"a": scores}, ["src", "dst"], "v", 0.0).collect()) == [(1, 2, 0.7), (3, 4, 0.0)]
+
+
 def test_dense_index_and_fold(spark):
     df = spark.createDataFrame([(x,) for x in [5, 3, 9, 3, 100]], "raw_id long")
     assert sorted((r.raw_id, r.node_id) for r in events.entity_index(df).collect()) == [(3, 0), (5, 1), (9, 2), (100, 3)]

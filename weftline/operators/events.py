@@ -26,6 +26,17 @@ def clean(rel: DataFrame, earliest: date, run_date: date, src: str = "src", dst:
     return out.where("duration_days >= 0")
 
 
+def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row for each combination of keys (nulls are equal): the least by ``order``, then by all other columns; nulls come first.
+
+    An aggregate, so copies are dropped before the shuffle.
+    """
+    rest = [*order, *[c for c in df.columns if c not in keys and c not in order]]
+    if not rest:
+        return df.select(*keys).distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*").select(*df.columns)
+
+
 def time_columns(df: DataFrame, start: str = "start_date") -> DataFrame:
     """year, month, quarter, ts (epoch days) and the days since the earliest start."""
     first = df.agg(F.min(start).alias("__first"))

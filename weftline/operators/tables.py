@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .events import first_of_each
+
 
 def layers(*frames: DataFrame) -> DataFrame:
     """Union of all rows by name; a column that a layer lacks is null."""
@@ -54,9 +56,9 @@ def either_end_in(edges: DataFrame, keys: DataFrame, key: str, src: str = "src",
 
 
 def joined_scores(base: DataFrame, others: dict[str, DataFrame], keys: Sequence[str], value: str, default: float | None = None, how: str = "left") -> DataFrame:
-    """A column for each named score table, duplicates of a key removed first."""
+    """A column for each named score table; of a key's repeated rows the largest score counts."""
     for name, df in others.items():
-        base = base.join(df.select(*keys, F.col(value).alias(name)).dropDuplicates(list(keys)), list(keys), how)
+        base = base.join(df.groupBy(*keys).agg(F.max(value).alias(name)), list(keys), how)
     return base if default is None else base.fillna(default, subset=list(others))
 
 
@@ -107,8 +109,8 @@ def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> Da
 
 
 def curve_sample(df: DataFrame, x: str, n: int) -> DataFrame:
-    """One row for each x, about n of them by hash, the first and the last always, in order of x."""
-    one = df.dropDuplicates([x])
+    """One row for each x (the least by the other columns), about n of them by hash, the first and the last always, in order of x."""
+    one = first_of_each(df, [x])
     ends = one.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     picked = one.join(F.broadcast(ends))  # one row
     inner = picked.where((F.col(x) > F.col("__lo")) & (F.col(x) < F.col("__hi"))).drop("__lo", "__hi").orderBy(F.xxhash64(x), x).limit(max(0, n - 2))

@@ -26,12 +26,18 @@ CLEAN = """clean AS (SELECT rel_id, supplier_id AS src, customer_id AS dst, star
   WHERE supplier_id <> customer_id AND start_date >= DATE '1993-01-01' AND coalesce(end_date, DATE '2002-01-01') >= start_date)"""
 
 
-@query("P1 P2 P3 P4 O9", f"WITH {CLEAN} SELECT rel_id, src, dst, start_date, CAST(duration_days AS BIGINT) AS duration_days, CAST(year(start_date) AS BIGINT) AS y, CAST(month(start_date) AS BIGINT) AS m, CAST(quarter(start_date) AS BIGINT) AS q, CAST(date_diff('day', DATE '1970-01-01', start_date) AS BIGINT) AS ts, CAST(date_diff('day', (SELECT min(start_date) FROM clean), start_date) AS BIGINT) AS since FROM clean")
+@query("P1 P2 P3 P4", f"WITH {CLEAN} SELECT rel_id, src, dst, start_date, CAST(duration_days AS BIGINT) AS duration_days, CAST(year(start_date) AS BIGINT) AS y, CAST(month(start_date) AS BIGINT) AS m, CAST(quarter(start_date) AS BIGINT) AS q, CAST(date_diff('day', DATE '1970-01-01', start_date) AS BIGINT) AS ts, CAST(date_diff('day', (SELECT min(start_date) FROM clean), start_date) AS BIGINT) AS since FROM clean")
 def event_times(t: Tables) -> DataFrame:
-    x = E.time_columns(_clean(t).dropDuplicates(["rel_id"]))
+    x = E.time_columns(_clean(t))
     return x.select("rel_id", "src", "dst", "start_date", *[F.col(a).cast("long").alias(b) for a, b in (("duration_days", "duration_days"), ("year", "y"), ("month", "m"), ("quarter", "q"), ("ts", "ts"), ("timestamp", "since"))])
 
 
+@query("O9", f"WITH {CLEAN}, r AS (SELECT *, row_number() OVER (PARTITION BY src, dst, start_date, end_date ORDER BY rel_id, cents, part_id, flag) AS n FROM clean) SELECT rel_id, src, dst, start_date, end_date, cents FROM r WHERE n = 1")
+def episode_dedup(t: Tables) -> DataFrame:
+    x = _clean(t).select("rel_id", "src", "dst", "start_date", "end_date", "cents", "part_id", "flag")
+    return E.first_of_each(x, ["src", "dst", "start_date", "end_date"], ["rel_id"]).select("rel_id", "src", "dst", "start_date", "end_date", "cents")
+
+
 @query("P5")
 def event_hash_ids(t: Tables) -> DataFrame:
     return t.rel.select("rel_id", X.short_hash("supplier_id", "customer_id", F.date_format("start_date", "yyyy-MM-dd'T'HH:mm:ss"), F.coalesce(F.date_format("end_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))).alias("event_id"))

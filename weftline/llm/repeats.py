@@ -130,7 +130,7 @@ def chosen(d: np.ndarray, part: np.ndarray, window: int = WINDOW, rounds: int =
             anchor_start[which], anchor_name[which] = start[at], names[at]
 
     for r in range(rounds):
-        left = (mix(names + U64(r + 1) * U64(_B)) >> U64(63)).astype(bool)
+        left = (mix(names + U64((r + 1) * _B % (1 << 64))) >> U64(63)).astype(bool)
         a, b = lo + ~left[lo], hi - left[hi]
         gone = a > b
         settle(open_[gone], lo[gone], hi[gone])

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from .common import F, U64, arrow_schema, materialise, mix, text_key, tidy
 
 ORDER = 5
+BROADCAST_LANGUAGES = 10_000  # rows of one language each that a broadcast may hold
 LOW, HIGH = 9.0, 6.0
 BLOCK_GRAMS = 4_000_000
 SYMBOLS = "#*$%&|<>"
@@ -320,6 +321,12 @@ def scores(docs: DataFrame, model: DataFrame, block_grams: int = BLOCK_GRAMS) ->
     return out
 
 
+def by_language(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with the columns of a stored table of one row a language: a broadcast behind a count, so no language's rows meet in one task."""
+    few = table.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    return rows.join(F.broadcast(table) if few else table, "lang", "left")
+
+
 def bands(scored: DataFrame, low: float = LOW, high: float = HIGH, step: float = 0.01) -> DataFrame:
     """lang, lower, upper: bits per word outside of which a text of the language is rejected. Medians are of steps of ``step``."""
     once = scored.where(~F.col("base_failed")).groupBy("lang", "key").agg(F.first("bits_per_word").alias("x"))
@@ -331,7 +338,8 @@ def bands(scored: DataFrame, low: float = LOW, high: float = HIGH, step: float =
         return run.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg((F.min("b") * step + step / 2).alias(name))
 
     mid = median(once, "x", "mid")
-    off = median(once.join(mid, "lang").withColumn("off", F.abs(F.col("x") - F.col("mid"))), "off", "mad")
+    mid = materialise(mid, "mid")
+    off = median(by_language(once, mid).withColumn("off", F.abs(F.col("x") - F.col("mid"))), "off", "mad")
     wide = F.greatest(1.4826 * F.col("mad"), 0.02 * F.col("mid"))
     return mid.join(off, "lang").select("lang", (F.col("mid") - low * wide).alias("lower"), (F.col("mid") + high * wide).alias("upper"))
 
@@ -346,7 +354,7 @@ def assess(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     rows = rows.withColumn("base_failed", failed).withColumn("bits_per_word", F.col("bits") / F.greatest("n_words", F.lit(1)))
     rows = materialise(rows, "scores")
     inside = F.col("bits_per_word").between(F.col("lower"), F.col("upper"))
-    return rows.join(bands(rows), "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    return by_language(rows, materialise(bands(rows), "bands")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,14 @@ def test_ids_equal_the_library():
         assert ids(text) == ENC.encode_ordinary(text), repr(text)
 
 
+def test_spaces_among_other_white_space():
+    assert ids("Name: \xa0 \xa0 \xa0 value") == [5376, 25, 11504, 5624, 1988]
+    rng = random.Random(3)
+    for _ in range(5000):
+        text = "".join(rng.choice("  \xa0\xa0\n\r\t\u3000\u2003a1.") for _ in range(rng.randint(1, 14)))
+        assert ids(text) == ENC.encode_ordinary(text), repr(text)
+
+
 def test_every_code_point():
     for c in range(0, sys.maxunicode + 1):
         if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or c % 97 == 0):

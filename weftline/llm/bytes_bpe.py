@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from .common import F, arrow_schema, doc_columns
 
 CODED = "doc_id long, ids binary, decoded binary"
+#: A space between white space and white space or the end: the pattern may join it with what stands before it.
+INNER_SPACE = regex.compile(r" (?!\S)(?<=\s )")
 
 
 def byte_characters() -> list[str]:
@@ -111,11 +113,11 @@ class ByteBpe:
         """The ids as little-endian uint32."""
         if not text:
             return b""
-        if "  " in text:  # a run of spaces is cut by what follows it, so such a text is cut whole
+        if INNER_SPACE.search(text):  # a run of white space is cut by what follows it, so such a text is cut whole
             parts = self.split(text)
             self._encode_parts(parts)
             return b"".join(map(self.parts.__getitem__, parts))
-        # the pattern never joins what stands before a single space with what follows it
+        # before any other space the pattern always cuts: it follows a visible character, or a visible one follows it
         first, *others = text.split(" ")
         stretches = ([first] if first else []) + [" " + x for x in others]
         new = [s for s in dict.fromkeys(stretches) if s not in self.stretches]

@@ -17,6 +17,12 @@
 5. components by alternating large-star and small-star rounds, each stored
    in the shared folder.
 
+``similar`` is for stages without a fingerprint contract: it links texts whose sets of
+five-word shingles have a Jaccard similarity of ``SIMILAR`` or more. MinHash bands (25 of
+5 rows: a pair at the limit shares none once in 20,000) name the candidates; of
+bands that bring the same texts together one goes on; the exact similarity
+decides, in chunks as above.
+
 Defined results: null or empty texts (no words) have fingerprint zero and link like
 any other; repeated rows keep one row each; a null doc_id stays null and
 never becomes a component's id unless the component has no other; an empty
@@ -32,11 +38,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from .common import F, arrow_schema, doc_columns, materialise, tidy
+from .common import F, arrow_schema, doc_columns, materialise, mix, text_key, tidy
 
 SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CELL_ROWS = 1024
+SIMILAR = 0.8
+BANDS, BAND_ROWS = 25, 5
+CELL_TEXTS = 512
 
 
 def simhash(text: str | None, words_per_shingle: int = 3) -> int:
@@ -214,14 +223,106 @@ def components(docs: DataFrame, distance: int = 2) -> DataFrame:
     return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+    """Ascending 64-bit hashes of a text's shingles; a shorter text is one shingle."""
+    words = (text or "").encode().translate(LOWER).split()
+    k = words_per_shingle
+    parts = {b" ".join(words[i : i + k]) for i in range(max(len(words) - k, 0) + 1)}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both / (len(x) + len(y) - both)
+
+
+def _bands(x: np.ndarray) -> np.ndarray:
+    """One hash for each band: of the least of its shingles in BAND_ROWS orders."""
+    orders = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64))
+    least = np.full(len(orders), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(x), 1000):
+        least = np.minimum(least, mix(x[None, at : at + 1000] ^ orders[:, None]).min(axis=1))
+    out = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        out = mix(out ^ row) + row
+    return out.view(np.int64)
+
+
+def _band_rows(batches):
+    schema = arrow_schema("key long, band int, bucket long")
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            buckets = [_bands(shingles(t.as_py())) for t in part.column(1)]
+            keys = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
+            bands = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
+            yield pa.record_batch([pa.array(keys), pa.array(bands), pa.array(np.concatenate(buckets))], schema=schema)
+
+
+def _similar_links(batches):
+    """Rows come sorted by cell; links of each cell's similar texts that span its connected parts."""
+    schema = arrow_schema("a long, b long")
+    cell, keys, sets = None, [], []
+
+    def links() -> pa.RecordBatch:
+        root = list(range(len(keys)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        a, b = [], []
+        for i in range(len(keys)):
+            for j in range(i):
+                x, y = find(i), find(j)
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if x != y and small >= SIMILAR * large and _jaccard(sets[i], sets[j]) >= SIMILAR:
+                    root[x] = y
+                    a.append(keys[i])
+                    b.append(keys[j])
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[:4] != cell:
+                if len(keys) > 1:
+                    yield links()
+                cell, keys, sets = row[:4], [], []
+            keys.append(row[4])
+            sets.append(shingles(row[5]))
+    if len(keys) > 1:
+        yield links()
+
+
+def similar(docs: DataFrame, cell_texts: int = CELL_TEXTS) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable over texts of similarity SIMILAR) of every row."""
+    keyed = doc_columns(docs).select("doc_id", text_key().alias("key"), "text")
+    members = materialise(keyed.select("key", "text").mapInArrow(_band_rows, "key long, band int, bucket long").distinct(), "bands")
+    sizes = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("same")).where("n > 1")
+    cells = sizes.groupBy("n", "same").agg(F.min(F.struct("band", "bucket")).alias("cell")).select("cell.*", "n")
+    met = materialise(members.join(cells, ["band", "bucket"]), "met")
+    texts = keyed.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    met = met.withColumn("chunks", F.ceil(F.col("n") / cell_texts).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    met = met.select("band", "bucket", "key", "own", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
+    met = met.select("band", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key").join(texts, "key")
+    met = met.select("band", "bucket", "i", "j", "key", "text").repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "key")
+    roots = stars(met.mapInArrow(_similar_links, "a long, b long"))
+    tidy(docs.sparkSession)
+    least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
+    labelled = materialise(least.join(roots, least.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root")), "labelled")
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    return keyed.select("doc_id", "key").join(labelled.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: of its smallest doc_id, one row (of equal ids the smallest text, of equal rows any)."""
-    found = materialise(components(docs).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "groups")
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """docs with one row of each component (of ``components``, or those given): of its smallest doc_id, one row (of equal ids the smallest text, of equal rows any)."""
+    found = materialise((components(docs) if found is None else found).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "groups")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.join(keep, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
     # a doc_id is a key; where rows repeat one, a single row of it stays

@@ -1,5 +1,6 @@
 import hashlib
 
+import corpus_pipeline
 from weftline.llm import lines
 
 
@@ -30,3 +31,12 @@ def test_equal_to_brute_force(spark, monkeypatch):
     by = {r.doc_id: r for r in kept.collect()}
     assert by[0].text == "\nbody 0" and by[0].n_chars == 7 and by[402].text is None and by[402].n_chars is None and by[200].text == "copied page\nline"
     assert lines.line_counts(docs.limit(0)).count() == 0
+
+
+def test_stage_serves_small_hosts(spark):
+    rows = [(i, "four", f"menu\nbody {i}") for i in range(4)] + [(10 + i, "two", f"menu\nbody {i}") for i in range(2)]
+    rows += [(100 + i, "forty", f"{'menu' if i < 4 else 'seldom' if i < 7 else 'x'}\nbody {i}") for i in range(40)]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, source string, text string, n_chars int")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert all(got[i] == f"body {i}" for i in range(4)) and got[10] == "menu\nbody 0"
+    assert got[100] == "body 0" and got[104] == "seldom\nbody 4" and got[110] == "body 10"

@@ -55,10 +55,10 @@ def _kept() -> Column:
     return F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
-def deduplicated(docs: DataFrame, site: str = "source") -> DataFrame:
+def deduplicated(docs: DataFrame, site: str = "source", min_pages: int = MIN_PAGES) -> DataFrame:
     """docs without their hosts' boilerplate lines; n_chars follows, other columns stay."""
     names = docs.columns
-    return with_text(with_boilerplate(docs, site), _kept()).select(*[F.col(f"`{c}`") for c in names])
+    return with_text(with_boilerplate(docs, site, min_pages=min_pages), _kept()).select(*[F.col(f"`{c}`") for c in names])
 
 
 def line_counts(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from weftline.llm import bytes_bpe
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 ENC = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bytes_bpe.read_ranks(PATH), special_tokens={})
-BPE = bytes_bpe.ByteBpe(PATH, P.PATTERN, remember=2000)
-ODD = ["", "a  b", "a   b", " a", "a ", "  ", "a\n b", "a \nb", "a\n\n  b", "\t x", "it's  we'll 'S", "é ñ ß", "日本語 テスト", "  b", "a  b", "x\x1cy \x85z", "1234 56", "<|endoftext|>", "a" * 3000, "#" * 500 + " ##"]
+BPE = bytes_bpe.ByteBpe(PATH, P.PATTERN, remember=20_000)
+ODD = ["", "a  b", "a   b", " a", "a ", "  ", "a\n b", "a \nb", "a\n\n  b", "\t x", "it's  we'll 'S", "é ñ ß", "日本語 テスト", "  b", "a  b", "x\x1cy \x85z", "1234 56", "<|endoftext|>", "a" * 3000, "#" * 500 + " ##", "a\nb\n\nc d\n", "\na\n\n", "a\n\n\nb", "a \n b", "x \ny", " \n", "\n", "\n\n", "\n\n\n"]
 
 
 def ids(text):
@@ -35,6 +35,21 @@ def test_spaces_among_other_white_space():
         assert ids(text) == ENC.encode_ordinary(text), repr(text)
 
 
+def test_line_breaks():
+    rng = random.Random(4)
+    for _ in range(8000):
+        text = "".join(rng.choice("ab1.' \n\n\n\r\xa0") for _ in range(rng.randint(1, 14)))
+        assert ids(text) == ENC.encode_ordinary(text), repr(text)
+
+
+def test_very_long_text_is_whole(monkeypatch):
+    monkeypatch.setattr(bytes_bpe.ByteBpe, "AT_ONCE", 7)
+    text = "".join(random.Random(5).choice(["word ", "Other", "\n", " 12", ", "]) for _ in range(20_000))
+    want = ENC.encode_ordinary(text)
+    assert ids(text) == want
+    assert next(BPE.digests([text])) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_every_code_point():
     for c in range(0, sys.maxunicode + 1):
         if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or c % 97 == 0):

@@ -21,17 +21,25 @@ import base64
 import hashlib
 import struct
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import F, arrow_schema, doc_columns
+from .common import F, Remembered, arrow_schema, doc_columns, slices
 
 CODED = "doc_id long, ids binary, decoded binary"
 #: A space between white space and white space or the end: the pattern may join it with what stands before it.
 INNER_SPACE = regex.compile(r" (?!\S)(?<=\s )")
+#: A line break beside other white space, three in a row, or two at the end: the pattern may join these.
+INNER_BREAK = regex.compile(r"\n(?:(?<=[^\S\n]\n)|[^\S\n]|\n(?:\n|\Z))")
+
+
+#: Marks that are a pre-token of their own between a letter and the end of a stretch.
+MARKS = tuple(",.;:!?")
 
 
 def byte_characters() -> list[str]:
@@ -74,64 +82,98 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + unknown + trainer + normaliser
 
 
+def joined(coded: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    """Several coded parts as one."""
+    return b" ".join([x[0] for x in coded]), b"".join([x[1] for x in coded])
+
+
+def packed_ids(coded: list[tuple[bytes, bytes]]) -> bytes:
+    """The ids as little-endian uint32."""
+    return array("I", [int(n) for x in coded for n in x[0].split()]).tobytes()
+
+
 class ByteBpe:
-    """Encodes whole texts; remembers up to ``remember`` pre-tokens and space-led stretches."""
+    """Encodes whole texts; remembers the pre-tokens and space-led stretches met lately, ``remember`` bytes of either."""
+
+    #: Stretches that are looked up at once: bounds what a very long text adds to the memory.
+    AT_ONCE = 400_000
 
-    def __init__(self, path: str, pattern: str, remember: int = 300_000) -> None:
+    def __init__(self, path: str, pattern: str, remember: int = 140_000_000) -> None:
         import sentencepiece
 
-        self.ranks = read_ranks(path)
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.ranks))
+        ranks = read_ranks(path)
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         self.split = regex.compile(pattern).findall
         self.chars = {b: c for b, c in enumerate(byte_characters())}
+        self.ranks = {raw.decode("latin1").translate(self.chars): rank for raw, rank in ranks.items()}
         back = {c: b for b, c in self.chars.items()}
         self.pieces = [bytes(back[c] for c in self.processor.id_to_piece(i)) for i in range(len(self.ranks))]
         self.numbers = [b"%d" % i for i in range(len(self.ranks))]
-        self.parts: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
-        self.remember = remember
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Encodes the pre-tokens that are not known yet."""
-        new = [p for p in dict.fromkeys(parts) if p not in self.parts]
-        if not new:
-            return
-        if len(self.parts) + len(new) > self.remember:
-            self.parts.clear()
-            new = list(dict.fromkeys(parts))
-        rest = []
-        for p in new:
-            raw = p.encode()
-            if (rank := self.ranks.get(raw)) is not None:
-                self.parts[p] = array("I", [rank]).tobytes()
+        self.parts = Remembered(self._parts, remember, each=330, by_char=5)
+        self.stretches = Remembered(self._stretches, remember // 2, each=150, by_char=2)  # most share their value with a part
+
+    def _parts(self, parts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """Of each pre-token: its ids as decimal numbers joined by spaces, and the bytes they decode to."""
+        mapped = [p.replace(" ", self.chars[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin1").translate(self.chars) for p in parts]
+        ranks = [self.ranks.get(m) for m in mapped]
+        rest = [m for m, rank in zip(mapped, ranks, strict=True) if rank is None]
+        coded = iter(self.processor.encode(rest, out_type=int, num_threads=1) if rest else [])
+        for rank in ranks:
+            if rank is None:
+                ids = next(coded)
+                yield b" ".join([self.numbers[i] for i in ids]), self.decode(ids)
             else:
-                rest.append((p, raw.decode("latin1").translate(self.chars)))
-        for (p, _), ids in zip(rest, self.processor.encode([m for _, m in rest], out_type=int, num_threads=1) if rest else [], strict=True):
-            self.parts[p] = array("I", ids).tobytes()
+                yield self.numbers[rank], self.pieces[rank]
+
+    def _stretches(self, stretches: list[str]) -> list[tuple[bytes, bytes]]:
+        # a stretch that a line break or a space leads stands as it is; before any other there was a space.
+        # A run of letters, alone or before one mark, needs no pattern.
+        cut = [
+            [" " + s] if s.isalpha() else [" " + s[:-1], s[-1]] if s[-1:] in MARKS and s[:-1].isalpha() else self.split(s if s[:1] in ("\n", " ") else " " + s)
+            for s in stretches
+        ]
+        known = self.parts.holding(chain.from_iterable(cut))
+        return [known[parts[0]] if len(parts) == 1 else joined([known[p] for p in parts]) for parts in cut]
+
+    def _cut(self, text: str) -> tuple[list[str], list[str]]:
+        """A text as pre-tokens, then stretches."""
+        if INNER_SPACE.search(text):  # a run of white space is cut by what follows it, so such a text is cut whole
+            return self.split(text), []
+        # before any other space the pattern always cuts: it follows a visible character, or a visible one follows
+        # it; likewise at a line break between visible characters, or at two such
+        lines = "\n" in text
+        whole = lines and INNER_BREAK.search(text)
+        first, *stretches = (text.replace("\n", " \n") if lines and not whole else text).split(" ")
+        return self.split(first), [" " + s if s[:1] == "\n" else s for s in stretches] if whole else stretches
+
+    def many(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes]]]:
+        """Of each text what ``_parts`` gives, of consecutive parts of it. Stretches of several texts are looked up together."""
+        cut = [self._cut(t) for t in texts]
+        at_once = sum(len(s) for _, s in cut) <= self.AT_ONCE
+        known = self.stretches.holding(chain.from_iterable(s for _, s in cut)) if at_once else {}
+        for head, stretches in cut:
+            out = []
+            for at in range(0, len(head), self.AT_ONCE):
+                parts = head[at : at + self.AT_ONCE]
+                of = self.parts.holding(parts)
+                out.append(joined([of[p] for p in parts]))
+            for at in range(0, len(stretches), self.AT_ONCE):
+                part = stretches[at : at + self.AT_ONCE]
+                out += map((known if at_once else self.stretches.holding(part)).__getitem__, part)
+            yield out
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian uint32."""
-        if not text:
-            return b""
-        if INNER_SPACE.search(text):  # a run of white space is cut by what follows it, so such a text is cut whole
-            parts = self.split(text)
-            self._encode_parts(parts)
-            return b"".join(map(self.parts.__getitem__, parts))
-        # before any other space the pattern always cuts: it follows a visible character, or a visible one follows it
-        first, *others = text.split(" ")
-        stretches = ([first] if first else []) + [" " + x for x in others]
-        new = [s for s in dict.fromkeys(stretches) if s not in self.stretches]
-        if len(self.stretches) + len(new) > self.remember:
-            self.stretches.clear()
-            new = list(dict.fromkeys(stretches))
-        cut = [self.split(s) for s in new]
-        self._encode_parts([p for parts in cut for p in parts])
-        for s, parts in zip(new, cut, strict=True):
-            self.stretches[s] = b"".join(map(self.parts.__getitem__, parts))
-        return b"".join(map(self.stretches.__getitem__, stretches))
+        return packed_ids(next(self.many([text])))
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids, and the SHA-256 of their decimal numbers joined by spaces and of the bytes they decode to."""
+        for parts in self.many(texts):
+            numbers, raw = joined(parts)
+            yield numbers.count(b" ") + bool(numbers), hashlib.sha256(numbers).hexdigest(), hashlib.sha256(raw).hexdigest()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return b"".join([self.pieces[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -147,10 +189,9 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = _bpe(ranks_path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [bpe.encode(t.as_py()) for t in part.column(1)]
-                decoded = [bpe.decode(memoryview(x).cast("I").tolist()) for x in ids]
+            for part in slices(batch, 1):
+                coded = list(bpe.many([t or "" for t in part.column(1).to_pylist()]))
+                ids, decoded = [packed_ids(parts) for parts in coded], [joined(parts)[1] for parts in coded]
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], schema=schema)
 
     return doc_columns(docs).mapInArrow(run, CODED)
@@ -164,13 +205,9 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         bpe = _bpe(ranks_path, pattern)
         for batch in batches:
-            rows: list[list] = [[], [], []]
-            for t in batch.column(1):
-                ids = memoryview(bpe.encode(t.as_py())).cast("I").tolist()
-                rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(b" ".join(map(bpe.numbers.__getitem__, ids))).hexdigest())
-                rows[2].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.record_batch([batch.column(0), *[pa.array(c, f.type) for c, f in zip(rows, list(schema)[1:], strict=True)]], schema=schema)
+            for part in slices(batch, 1):
+                rows = zip(*bpe.digests([t or "" for t in part.column(1).to_pylist()]), strict=True)
+                yield pa.record_batch([part.column(0), *[pa.array(c, f.type) for c, f in zip(rows, list(schema)[1:], strict=True)]], schema=schema)
 
     return doc_columns(docs).mapInArrow(run, ddl)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +35,26 @@ def _local_dir(spark: SparkSession) -> str:
     return _local_dir.path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+#: Rows of a stored intermediate result that share a file where a bound of its rows is known, else bytes by the plan's estimate.
+FILE_ROWS, FILE_BYTES = 250_000, 2_000_000
+
+
+def few_files(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df in no more partitions than its size calls for, so that tiny partitions do not become tiny files.
+
+    ``rows`` is a bound of its rows, where the caller has one: then the step before must be an exchange, as its tasks
+    become as few. Else the optimiser's estimate counts; where that is far too large (joins), df stays as it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = -(-size // FILE_BYTES) if rows is None else -(-rows // FILE_ROWS)
+    return df.coalesce(max(1, most)) if most < 100_000 else df
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, survives lost executors. rows: see ``few_files``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df, rows).write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,6 +72,15 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 8_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of the text column, none empty; a longer text is a slice with few others."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy()
+    edges = (np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist()
+    for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.schema([(p.split()[0], kinds[p.split()[1]]) for p in ddl.split(",")])
@@ -70,6 +96,40 @@ def doc_columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+class Remembered:
+    """Values of the keys met so far, in about ``most`` bytes.
+
+    When it is full, the later half of its keys goes: what was met first is mostly what is frequent. Every eighth
+    time all go, so that a change of language or subject is followed. ``make`` gives the values of a list of
+    new keys; ``each`` and ``by_char`` say what a key costs.
+    """
+
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int, each: int = 200, by_char: int = 2) -> None:
+        self.make, self.most, self.each, self.by_char = make, most, each, by_char
+        self.known: dict = {}
+        self.held = self.turns = 0
+
+    def holding(self, keys: Iterable[str]) -> dict:
+        """A dict that holds all of the keys, until the next call."""
+        if self.held > self.most:
+            self.turns += 1
+            self.known = dict(islice(self.known.items(), len(self.known) // 2 if self.turns % 8 else 0))
+            self.held = sum(self.each + self.by_char * len(k) for k in self.known)
+        new = list(set(keys).difference(self.known))
+        if new:
+            self.known.update(zip(new, self.make(new), strict=True))
+            self.held += self.each * len(new) + self.by_char * sum(map(len, new))
+        return self.known
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """The name, or a longer one where df has a column of that name (whatever its case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser; arithmetic wraps."""
     x = x ^ (x >> U64(30))
@@ -85,4 +145,4 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-__all__ = ["F", "T", "U64", "arrow_schema", "doc_columns", "map_arrow", "materialise", "mix", "read", "shared_dir", "text_key", "tidy", "with_text"]
+__all__ = ["F", "Remembered", "T", "U64", "arrow_schema", "doc_columns", "few_files", "map_arrow", "materialise", "mix", "read", "shared_dir", "slices", "spare", "text_key", "tidy", "with_text"]

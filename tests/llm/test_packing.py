@@ -18,12 +18,11 @@ def brute(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_words_equal_whole_text():
-    encode = packing.WordEncoder(PATH, remember=5)
+    encode = packing.WordEncoder(PATH, remember=1000)
     for text in ODD:
         assert list(array("I", encode(text or "") if text else b"")) + [2] == brute(text), repr(text)[:80]
     rng = random.Random(1)
@@ -33,6 +32,22 @@ def test_words_equal_whole_text():
         assert list(array("I", encode(text))) + [2] == brute(text), repr(text)
 
 
+def test_every_code_point():
+    from tokenizers import Tokenizer
+
+    library, encode = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    for c in range(1, 0x110000):
+        if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or c % 97 == 0):
+            text = f"a{chr(c)}b1{chr(c)} {chr(c)} {chr(c)}{chr(c)}'S x"
+            assert list(array("I", encode(text))) == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_strings_of_added_tokens_are_the_library_s():
+    encode = packing.WordEncoder(PATH)
+    assert list(array("I", encode("a <|endoftext|> b"))) == [320, 49407, 321]
+    assert list(array("I", encode("<|endoftext|> yes"))) == [49407, 1958]
+
+
 def test_best_fit_is_the_tightest_window():
     rng = random.Random(3)
     for window in (8, 37, 64):

@@ -1,21 +1,25 @@
 """Licence scan: a sparse word n-gram logistic regression over paragraphs, in SQL functions only.
 
-A paragraph is a line. Its features are the lower-case words and word pairs, hashed
+A paragraph is a line, or, where a notice is wrapped, lines joined: three, four and eight lines
+around each line that holds a cue. Its features are the lower-case words and word pairs, hashed
 into ``FEATURES`` buckets by xxHash64. A multinomial logistic regression, fitted in the
 driver on a bounded labelled sample (notices of each family in several wordings, and at
 most ``ORDINARY`` paragraphs of the corpus next to written hard negatives), gives each
 family and the class ``unknown`` a probability. The temperature of the softmax and the
-least probability of a known family are calibrated on held-out notices. A prediction
+least probability of a known family are calibrated on notices in wordings that the fit has not
+seen (``HELD_OUT``). A prediction
 counts only if a template of the family confirms it: at least ``COVERED`` of a
 template's word pairs stand in the paragraph.
 
 On the executors everything is a Column expression over one row: the weights are
-an array literal of fixed size, so there is no join, no shuffle and no Python. A
-paragraph without any of ``CUES`` is unknown by definition and is not scored.
+an array literal of fixed size, so there is no join, no shuffle and no Python. Only lines with
+one of ``CUES`` are scored. These words are derived from the templates so that what has
+none of them cannot be confirmed (see ``cue_words``): nothing is lost.
 
 Defined results: null and empty texts have no paragraphs; repeated rows each get
-their row; an empty table gives no rows; extra columns are ignored; families are
-listed once, in alphabetical order.
+their row; an empty table gives no rows; extra columns are ignored; a very long text is scanned whole; families are
+listed once, in alphabetical order; a wrapped notice is named by a line with a cue; where notices
+overlap, the one that holds most word pairs of a template stands (ties: that of fewest lines).
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ import json
 import math
 import random
 import re
-from functools import lru_cache
+from collections import Counter
+from functools import lru_cache, reduce
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,7 +39,6 @@ from .common import F, doc_columns
 FEATURES = 4096
 ORDINARY = 400
 COVERED = 0.6
-CUES = ("licen", "permission", "copyright", "redistribut", "warrant", "spdx")
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 #: Public licence notices of each family: templates for the comparison and seeds of the labelled sample.
@@ -58,6 +62,23 @@ HARD = [
     "Contact us to obtain a commercial license for this product.", "The software is provided under a proprietary license agreement.", "Version 2.0 of the manual was published in January 2004.",
 ]
 UNKNOWN = "unknown"
+#: Other wordings, for calibration alone.
+HELD_OUT = {
+    "agpl": ["This server is distributed under the GNU Affero General Public License version 3 or later."],
+    "apache": ["Distributed under the Apache License 2.0.", "You may use this package under the terms of the Apache License, Version 2.0."],
+    "bsd": ["This project is available under the BSD 3-Clause License.", "Redistribution and use in source and binary forms are permitted provided that the conditions are met."],
+    "cc-by": ["This photo is available under CC BY 4.0.", "The text of this page is licensed under a Creative Commons Attribution 4.0 licence."],
+    "cc-by-nc": ["Pictures are available under CC BY-NC 4.0.", "Shared under a Creative Commons Attribution-NonCommercial 4.0 International licence."],
+    "gpl": ["This package is distributed under the terms of the GNU General Public License version 2.", "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation."],
+    "lgpl": ["The library may be used under the GNU Lesser General Public License, version 3."],
+    "mit": ["This project is available under the MIT license.", "Permission is hereby granted, free of charge, to any person who obtains a copy of this software."],
+    "mpl": ["The code is subject to the terms of the Mozilla Public License 2.0."],
+}
+#: Words that are cues only where no other serves: common in licences and elsewhere, then common everywhere.
+COMMON = frozenset("associated can charge code copy deal documentation except file files free governed modify obtaining person program provided published restriction software source terms version work".split())
+FREQUENT = frozenset("a an and any are as by following for forms form in is it may not of or that the this to under use with without you your".split())
+#: Lines joined for wrapped notices: lines before the one with the cue, and lines in all.
+JOINED = ((1, 3), (0, 4), (3, 8), (0, 8))
 
 
 def words(text: str) -> list[str]:
@@ -74,13 +95,36 @@ def bucket(gram: str) -> int:
     return h % FEATURES
 
 
-def labelled(ordinary: list[str], seed: int) -> list[tuple[str, str]]:
+def price(word: str) -> int:
+    """What a cue costs: short and common words stand in many lines that are no notices."""
+    return 100 if word in FREQUENT else 30 if len(word) < 3 else 20 if word in COMMON else 8 if word.isalpha() and len(word) < 6 else 1
+
+
+def cue_words() -> tuple[str, ...]:
+    """Words of which every confirmed paragraph has one.
+
+    For each template words are taken until the pairs that hold none of them are fewer than ``COVERED`` of its pairs.
+    """
+    cues: list[str] = []
+    for templates in TEMPLATES.values():
+        for t in templates:
+            pairs = {g for g in grams(t) if " " in g}
+            free = {g for g in pairs if not set(g.split()) & set(cues)}
+            while len(free) >= COVERED * len(pairs):
+                often = Counter(w for g in free for w in set(g.split()))
+                cue = min(often, key=lambda w: (price(w) / often[w], w))
+                cues.append(cue)
+                free = {g for g in free if cue not in g.split()}
+    return tuple(sorted(set(cues)))
+
+
+def labelled(ordinary: list[str], seed: int, notices: dict[str, list[str]] | None = None) -> list[tuple[str, str]]:
     """Notices with words dropped and words around them; hard negatives and ordinary paragraphs as unknown."""
     rng = random.Random(seed)
     filler = [w for t in [*HARD, *ordinary[:50]] for w in t.split()] or ["text"]
     around = lambda: " ".join(rng.choice(filler) for _ in range(rng.randint(0, 6)))
     out = []
-    for family, templates in TEMPLATES.items():
+    for family, templates in (notices or TEMPLATES).items():
         for t in templates:
             for _ in range(12):
                 kept = " ".join(w for w in t.split() if rng.random() > 0.06)
@@ -91,6 +135,9 @@ def labelled(ordinary: list[str], seed: int) -> list[tuple[str, str]]:
     return out
 
 
+CUES = cue_words()
+
+
 class Classifier:
     """Multinomial logistic regression on hashed n-grams, fitted by AdaGrad with L2."""
 
@@ -164,11 +211,13 @@ def pairs_of(family: str) -> tuple[frozenset[str], ...]:
 
 def fit(docs: DataFrame, ordinary: int = ORDINARY) -> Classifier:
     """Fits on the notices and on ``ordinary`` paragraphs at most: those of least hash in as many documents of least hash."""
-    few = doc_columns(docs).where("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id").limit(ordinary)
-    lines = few.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[^\s]") & ~F.lower("line").rlike("|".join(CUES))).distinct()
+    rows = doc_columns(docs).where("text <> ''")
+    few = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(ordinary).select(F.col("doc_id").alias("id")).distinct()
+    few = rows.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")  # ``ordinary`` ids at most
+    lines = few.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[^\s]") & ~_cued(F.lower("line"))).distinct()
     lines = [r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(ordinary).collect()]
     model = Classifier(labelled(lines, seed=1))
-    model.calibrate(labelled(lines, seed=2))
+    model.calibrate(labelled(lines, 2, HELD_OUT))
     return model
 
 
@@ -179,6 +228,11 @@ def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
 
 
+def _cued(low: Column) -> Column:
+    """Whether a lower-case text holds one of CUES."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(c)) for c in CUES])
+
+
 def _pairs(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
 
@@ -186,34 +240,45 @@ def _pairs(w: Column) -> Column:
 def scanned(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, n_paragraphs, and found: (paragraph, family, probability) of every confirmed notice, in order."""
     c = len(model.classes)
-    rows = doc_columns(docs)
-    cued = lambda x: F.lower(x).rlike("|".join(CUES))
-    rows = rows.withColumn("lines", F.split("text", "\n"))
+    rows = doc_columns(docs).withColumn("lines", F.split("text", "\n"))
     low = F.lower("text")
-    any_cue = F.lit(False)
-    for cue in CUES:
-        any_cue = any_cue | F.contains(low, F.lit(cue))
     numbered = F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    rows = rows.withColumn("cued", F.when(any_cue, F.filter(numbered, lambda x: cued(x.line))))
-    split = F.transform("cued", lambda x: F.struct(x.at.alias("at"), F.regexp_extract_all(F.lower(x.line), F.lit(f"({WORD})"), F.lit(1)).alias("w")))
-    rows = rows.withColumn("cued", split)
-    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.at.alias("at"), x.w.alias("w"), F.array_distinct(_pairs(x.w)).alias("pairs"))))
+    rows = rows.withColumn("cued", F.when(_cued(low), F.filter(numbered, lambda x: _cued(F.lower(x.line)))))
+
+    def joined(at: Column, before: int, n: int) -> Column:
+        first = F.greatest(at - before, F.lit(0))
+        return F.struct(F.struct(F.lit(n).alias("n"), at.alias("at"), first.alias("first")).alias("place"), F.array_join(F.slice("lines", first + 1, F.lit(n)), " ").alias("text"))
+
+    def units(x: Column) -> Column:
+        alone = F.struct(F.struct(F.lit(1).alias("n"), x.at.alias("at"), x.at.alias("first")).alias("place"), x.line.alias("text"))
+        return F.array(alone, *[joined(x.at, before, n) for before, n in JOINED])
+
+    rows = rows.withColumn("cued", F.flatten(F.transform("cued", units)))
+    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.place.alias("place"), F.regexp_extract_all(F.lower(x.text), F.lit(f"({WORD})"), F.lit(1)).alias("w"))))
+    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.place.alias("place"), x.w.alias("w"), F.array_distinct(_pairs(x.w)).alias("pairs"))))
     on = lambda x: F.array_distinct(F.transform(F.concat(x.w, x.pairs), lambda g: _bucket(g)))
-    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.at.alias("at"), x.pairs.alias("pairs"), on(x).alias("on"))))
+    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.place.alias("place"), x.pairs.alias("pairs"), on(x).alias("on"))))
     table = _literal(model.weights, "array<array<double>>")
     zero = _literal([0.0] * c, "array<double>")
     summed = lambda x: F.aggregate(x.on, zero, lambda a, i: F.zip_with(a, F.get(table, i), lambda u, v: u + v))
     bias = _literal(model.bias, "array<double>")
     logits = lambda x: F.zip_with(summed(x), bias, lambda s, b: (s / F.sqrt(F.greatest(F.size(x.on), F.lit(1))) + b) / model.temperature)
-    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.at.alias("at"), x.pairs.alias("pairs"), logits(x).alias("z"))))
+    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.place.alias("place"), x.pairs.alias("pairs"), logits(x).alias("z"))))
     total = lambda x: F.aggregate(x.z, F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(x.z)))
     names = _literal(model.classes, "array<string>")
-    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.at.alias("at"), x.pairs.alias("pairs"), F.element_at(names, F.array_position(x.z, F.array_max(x.z)).cast("int")).alias("family"), (1.0 / total(x)).alias("p"))))
+    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct(x.place.alias("place"), x.pairs.alias("pairs"), F.element_at(names, F.array_position(x.z, F.array_max(x.z)).cast("int")).alias("family"), (1.0 / total(x)).alias("p"))))
     rows = rows.withColumn("cued", F.filter("cued", lambda x: (x.family != UNKNOWN) & (x.p >= model.least)))
     templates = _literal([[sorted(t) for t in pairs_of(f)] for f in sorted(TEMPLATES)], "array<array<array<string>>>")
     of = lambda x: F.element_at(templates, F.array_position(names, x.family).cast("int"))
-    rows = rows.withColumn("cued", F.filter("cued", lambda x: F.exists(of(x), lambda t: F.size(F.array_intersect(t, x.pairs)) >= COVERED * F.size(t))))
-    found = F.coalesce(F.transform("cued", lambda x: F.struct(x.at.alias("paragraph"), x.family.alias("family"), F.round(x.p, 4).alias("probability"))), F.array().cast("array<struct<paragraph:int,family:string,probability:double>>"))
+    held = lambda x, t: F.size(F.array_intersect(t, x.pairs))
+    pairs = lambda x: F.array_max(F.transform(of(x), lambda t: F.when(held(x, t) >= COVERED * F.size(t), held(x, t)).otherwise(0)))
+    rows = rows.withColumn("cued", F.transform("cued", lambda x: F.struct((-pairs(x)).alias("rank"), x.place.alias("place"), x.family.alias("family"), x.p.alias("p"))))
+    # where lines overlap, the notice with most pairs of a template stands, of equal ones that of fewest lines
+    ranked = F.array_sort(F.filter("cued", lambda x: x.rank < 0))
+    meets = lambda a, b: (a.place.first < b.place.first + b.place.n) & (b.place.first < a.place.first + a.place.n)
+    kept = F.aggregate(ranked, F.slice(ranked, 1, 0), lambda seen, x: F.when(F.exists(seen, lambda y: meets(x, y)), seen).otherwise(F.concat(seen, F.array(x))))
+    notices = F.array_sort(F.transform(kept, lambda x: F.struct(x.place.at.alias("paragraph"), x.family.alias("family"), F.round(x.p, 4).alias("probability"))))
+    found = F.coalesce(notices, F.array().cast("array<struct<paragraph:int,family:string,probability:double>>"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: x.rlike(r"[^\s]"))))
     return rows.select("doc_id", n.cast("long").alias("n_paragraphs"), found.alias("found"))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +15,25 @@ from .common import arrow_schema, doc_columns
 Span = tuple[str, int, int]
 
 
+class Taken:
+    """The code points that spans cover, as ascending stretches: asked in logarithmic, joined in linear time."""
+
+    def __init__(self, spans: Iterable[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, s, e in sorted(spans, key=lambda x: x[1:]):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether a code point of start .. end (exclusive) is covered."""
+        at = bisect_left(self.starts, end) - 1
+        return at >= 0 and self.ends[at] > start
+
+
 def written(spans: list[Span], kinds: list[str]) -> str:
     """kind:start:end by start, then by the kinds' order, comma-joined."""
     rank = {k: i for i, k in enumerate(kinds)}

@@ -16,8 +16,9 @@ deviations (1.4826 times the median absolute deviation, and never less than 2 %
 the median), over the distinct texts that pass the base rules.
 
 Defined results: null or empty texts have no words and fail the base rules; a null
-language is a language of its own; repeated rows each get their row, with
-equal results; an empty table gives no rows; extra columns are ignored.
+language is the empty language (both are one); repeated rows each get their row, with
+equal results; an empty table gives no rows; extra columns are ignored, whatever their
+names; a very long text is scored whole, in arrays of about ten times its size, with no n-gram lost.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 
-from .common import F, U64, arrow_schema, materialise, mix, text_key, tidy
+from .common import F, U64, arrow_schema, materialise, mix, spare, text_key, tidy
 
 ORDER = 5
+BROADCAST_FAILED = 500_000  # keys of failed texts (about 30 bytes each) that a broadcast may hold
 BROADCAST_LANGUAGES = 10_000  # rows of one language each that a broadcast may hold
 LOW, HIGH = 9.0, 6.0
 BLOCK_GRAMS = 4_000_000
+HELD_GRAMS = 1_500_000  # n-grams of all languages (28 bytes each) that a task holds before it merges or sends them
 SYMBOLS = "#*$%&|<>"
 START = 2  # stands before a text's first character
 _BITS = 60 // ORDER
@@ -91,7 +94,7 @@ def _codes(text: str) -> np.ndarray:
     return np.where((c >= 9) & (c <= 13), np.uint32(32), c)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[tuple[list[tuple], np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 250_000) -> Iterator[tuple[list[tuple], np.ndarray]]:
     """Rows, and their texts' code points one after another, about ``size`` at a time."""
     rows: list[tuple] = []
     parts: list[np.ndarray] = []
@@ -112,12 +115,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterato
 
 def _pack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Every n-gram as one number, and the alphabet that the number's digits index; None if the alphabet is too large."""
-    used = np.zeros(0x110000, bool)
+    used = np.zeros(int(codes.max(initial=0)) + 1, bool)
     used[codes] = True
     alphabet = np.flatnonzero(used).astype(np.uint32)
     if len(alphabet) > 1 << _BITS:
         return None
-    index = np.zeros(0x110000, U64)
+    index = np.zeros(len(used), U64)
     index[alphabet] = np.arange(len(alphabet), dtype=U64)
     c = index[codes]
     n = len(codes) - ORDER + 1
@@ -159,25 +162,27 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = lambda lang: sum(len(p[0]) for p in held[lang])
 
         def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
             parts = held[lang]
             if len(parts) > 1:
                 rows, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                parts.clear()
                 h = _hashes(tuple(rows[:, k].astype(U64) for k in range(ORDER)), U64(1))
                 order = np.argsort(h)
-                new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-                first = np.flatnonzero(new)
-                held[lang] = [(rows[order[first]], np.add.reduceat(counts[order], first))]
-            return held[lang][0]
+                h = h[order]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                parts.append((rows[order[first]], np.add.reduceat(counts[order], first)))
+            return parts[0]
 
         def out(lang: str):
             rows, counts = merged(lang)
-            for at in range(0, len(rows), 200_000):
-                text = np.ascontiguousarray(rows[at : at + 200_000].astype("<u4")).tobytes().decode("utf-32-le", "replace")
-                yield pa.record_batch([pa.array([lang] * (len(text) // ORDER)), pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)]), pa.array(counts[at : at + 200_000], pa.int64())], schema=schema)
+            for at in range(0, len(rows), 50_000):
+                text = np.ascontiguousarray(rows[at : at + 50_000].astype("<u4")).tobytes().decode("utf-32-le", "replace")
+                yield pa.record_batch([pa.array([lang] * (len(text) // ORDER)), pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)]), pa.array(counts[at : at + 50_000], pa.int64())], schema=schema)
 
-        for rows, codes in _chunks(batches):
+        for rows, codes in _chunks(batches, 500_000):
             lengths = [len(r[1] or "") + ORDER - 1 for r in rows]
             ends = np.cumsum(lengths)
             by: dict[str, list[np.ndarray]] = {}
@@ -187,11 +192,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 got = _counted(np.concatenate(parts))
                 if len(got[0]):
                     held.setdefault(lang, []).append(got)
-                    if sum(len(p[0]) for p in held[lang]) > 3_000_000:
-                        merged(lang)
-                        if len(held[lang][0][0]) > 1_500_000:  # bounded memory: what this task sends may hold an n-gram twice
-                            yield from out(lang)
-                            del held[lang]
+            if sum(map(size, held)) > HELD_GRAMS:
+                for lang in held:
+                    merged(lang)
+                while sum(map(size, held)) > HELD_GRAMS // 2:  # bounded memory: what this task sends may hold an n-gram twice
+                    most = max(held, key=size)
+                    yield from out(most)
+                    del held[most]
         for lang in list(held):
             yield from out(lang)
             del held[lang]
@@ -202,9 +209,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram, logp (log2) of every n-gram of the highest order: modified Kneser-Ney, interpolated."""
-    levels = {order: counts}
+    levels, rows = {order: counts}, counts.count()  # no level has more rows than the highest order
     for n in range(order - 1, 0, -1):
-        levels[n] = materialise(levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), f"level{n}")
+        levels[n] = materialise(levels[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), f"level{n}", rows)
     below = None
     for n in range(1, order + 1):
         at = levels[n].withColumn("ctx", F.substring("gram", 1, n - 1)).withColumn("low", F.substring("gram", 2, n - 1))
@@ -226,7 +233,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             p = p.withColumn("p", main + F.col("gamma") / F.col("types"))
         else:
             p = p.join(below, ["lang", "low"]).withColumn("p", main + F.col("gamma") * F.col("q"))
-        below = materialise(p.select("lang", F.col("gram").alias("low"), F.col("p").alias("q")), f"p{n}")
+        below = materialise(p.select("lang", F.col("gram").alias("low"), F.col("p").alias("q")), f"p{n}", rows)
         tidy(counts.sparkSession)
     return below.select("lang", F.col("low").alias("gram"), F.log2("q").alias("logp"))
 
@@ -290,7 +297,7 @@ def scores(docs: DataFrame, model: DataFrame, block_grams: int = BLOCK_GRAMS) ->
 
         def run(batches):
             score = held.value
-            for rows, codes in _chunks(batches, 1_000_000):
+            for rows, codes in _chunks(batches):
                 lengths = np.array([len(r[3] or "") + ORDER - 1 for r in rows])
                 ends = np.cumsum(lengths)
                 salts = {x: _salt(x) for x in {r[2] for r in rows}}
@@ -338,7 +345,7 @@ def bands(scored: DataFrame, low: float = LOW, high: float = HIGH, step: float =
         return run.where(F.col("upto") * 2 >= F.col("all")).groupBy("lang").agg((F.min("b") * step + step / 2).alias(name))
 
     mid = median(once, "x", "mid")
-    mid = materialise(mid, "mid")
+    mid = materialise(mid, "mid", BROADCAST_LANGUAGES)
     off = median(by_language(once, mid).withColumn("off", F.abs(F.col("x") - F.col("mid"))), "off", "mad")
     wide = F.greatest(1.4826 * F.col("mad"), 0.02 * F.col("mid"))
     return mid.join(off, "lang").select("lang", (F.col("mid") - low * wide).alias("lower"), (F.col("mid") + high * wide).alias("upper"))
@@ -354,7 +361,7 @@ def assess(docs: DataFrame, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     rows = rows.withColumn("base_failed", failed).withColumn("bits_per_word", F.col("bits") / F.greatest("n_words", F.lit(1)))
     rows = materialise(rows, "scores")
     inside = F.col("bits_per_word").between(F.col("lower"), F.col("upper"))
-    return by_language(rows, materialise(bands(rows), "bands")).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    return by_language(rows, materialise(bands(rows), "bands", BROADCAST_LANGUAGES)).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -362,7 +369,13 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    passed = assess(docs).where("kept").select(F.col("key").alias("__key"), F.col("lang").alias("__lang")).distinct()
-    keyed = docs.withColumn("__key", text_key()).withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    return keyed.join(passed, ["__key", "__lang"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass, with all their columns.
+
+    Texts that fail go by their key. While these are few, they are broadcast and no text is shuffled.
+    """
+    key, lang = spare(docs, "__key"), spare(docs, "__lang")
+    failed = assess(docs).where(~F.col("kept")).select(F.col("key").alias(key), F.col("lang").alias(lang)).distinct()
+    failed = materialise(failed, "failed")
+    failed = F.broadcast(failed) if failed.count() <= BROADCAST_FAILED else failed
+    keyed = docs.withColumn(key, text_key()).withColumn(lang, F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    return keyed.join(failed, [key, lang], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,8 @@ decides, in chunks as above.
 Defined results: null or empty texts (no words) have fingerprint zero and link like
 any other; repeated rows keep one row each; a null doc_id stays null and
 never becomes a component's id unless the component has no other; an empty
-table gives no rows; extra columns are ignored.
+table gives no rows; extra columns are ignored, whatever their names; a very long text is read
+whole, its shingles in blocks of 100,000.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 
-from .common import F, arrow_schema, doc_columns, materialise, mix, text_key, tidy
+from .common import F, arrow_schema, doc_columns, materialise, mix, spare, text_key, tidy
 
 SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -46,6 +47,8 @@ CELL_ROWS = 1024
 SIMILAR = 0.8
 BANDS, BAND_ROWS = 25, 5
 CELL_TEXTS = 512
+SEEN_KEYS = 200_000  # keys of texts that a task remembers
+BROADCAST_KEYS = 1_000_000  # keys or ids of eight bytes that a broadcast may hold
 
 
 def simhash(text: str | None, words_per_shingle: int = 3) -> int:
@@ -190,19 +193,22 @@ def links(distinct: DataFrame, distance: int = 2, cell_rows: int = CELL_ROWS) ->
     return met.mapInArrow(_cell_links(distance), "a long, b long")
 
 
-def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root for every node of the links a-b: root is the component's smallest node."""
+def stars(edges: DataFrame) -> DataFrame:
+    """node, root for every node of the links a-b: root is the component's smallest node.
+
+    Rounds go on until none changes a link: labels only fall, so there is an end, and no cap could cut it short.
+    """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     edges = materialise(edges, "links")
-    before = None
-    for _ in range(rounds):
+    before, rows = None, edges.count()  # a round never adds links
+    while True:
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select("v", "m").where("v <> m").distinct()
         # small star: each node's smaller neighbours, and the node, go to the smallest of them
         lower = large.groupBy("v").agg(F.min("m").alias("r"))
         small = large.join(lower, "v").select(F.col("m").alias("hi"), F.col("r").alias("lo")).where("hi <> lo")
-        edges = materialise(small.union(lower.select(F.col("v").alias("hi"), F.col("r").alias("lo"))).select("lo", "hi").distinct(), "stars")
+        edges = materialise(small.union(lower.select(F.col("v").alias("hi"), F.col("r").alias("lo"))).select("lo", "hi").distinct(), "stars", rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -249,14 +255,23 @@ def _bands(x: np.ndarray) -> np.ndarray:
 
 
 def _band_rows(batches):
+    """The buckets of each text; a copy in the same task mostly goes with the first."""
     schema = arrow_schema("key long, band int, bucket long")
+    seen: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            buckets = [_bands(shingles(t.as_py())) for t in part.column(1)]
-            keys = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), BANDS)
-            bands = np.tile(np.arange(BANDS, dtype=np.int32), part.num_rows)
-            yield pa.record_batch([pa.array(keys), pa.array(bands), pa.array(np.concatenate(buckets))], schema=schema)
+            keys, buckets = [], []
+            for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    buckets.append(_bands(shingles(text.as_py())))
+            if len(seen) > SEEN_KEYS:
+                seen.clear()
+            if keys:
+                bands = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
+                yield pa.record_batch([pa.array(np.repeat(np.array(keys, np.int64), BANDS)), pa.array(bands), pa.array(np.concatenate(buckets))], schema=schema)
 
 
 def _similar_links(batches):
@@ -295,14 +310,20 @@ def _similar_links(batches):
         yield links()
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, for a broadcast while it is small; beyond, the join shuffles."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def similar(docs: DataFrame, cell_texts: int = CELL_TEXTS) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over texts of similarity SIMILAR) of every row."""
     keyed = doc_columns(docs).select("doc_id", text_key().alias("key"), "text")
     members = materialise(keyed.select("key", "text").mapInArrow(_band_rows, "key long, band int, bucket long").distinct(), "bands")
+    rows = members.count()
     sizes = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("same")).where("n > 1")
     cells = sizes.groupBy("n", "same").agg(F.min(F.struct("band", "bucket")).alias("cell")).select("cell.*", "n")
-    met = materialise(members.join(cells, ["band", "bucket"]), "met")
-    texts = keyed.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    met = materialise(members.join(cells, ["band", "bucket"]), "met", rows)
+    texts = keyed.join(_few(materialise(met.select("key").distinct(), "keys", rows // BANDS)), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     met = met.withColumn("chunks", F.ceil(F.col("n") / cell_texts).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     met = met.select("band", "bucket", "key", "own", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
     met = met.select("band", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key").join(texts, "key")
@@ -310,7 +331,7 @@ def similar(docs: DataFrame, cell_texts: int = CELL_TEXTS) -> DataFrame:
     roots = stars(met.mapInArrow(_similar_links, "a long, b long"))
     tidy(docs.sparkSession)
     least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
-    labelled = materialise(least.join(roots, least.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root")), "labelled")
+    labelled = materialise(least.join(roots, least.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root")), "labelled", rows // BANDS)
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     return keyed.select("doc_id", "key").join(labelled.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
@@ -321,14 +342,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """docs with one row of each component (of ``components``, or those given): of its smallest doc_id, one row (of equal ids the smallest text, of equal rows any)."""
+    """docs with one row of each component (of ``components``, or those given): of its smallest doc_id, one row (of equal ids the smallest text, then the row that is the smallest as JSON)."""
     found = materialise((components(docs) if found is None else found).groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "groups")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(keep, docs.doc_id.cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    own = spare(docs, "__id")
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("NOT stays").select(F.col("doc_id").alias(own))
+    rows = docs.join(_few(materialise(gone, "gone")), docs.doc_id.cast("long").eqNullSafe(F.col(own)), "left_anti")
     # a doc_id is a key; where rows repeat one, a single row of it stays
     again = found.groupBy("doc_id").agg(F.sum("n").alias("n")).where("n > 1").limit(1).count()
     if not again:
         return rows
     names = docs.columns
-    least = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct(F.col("text").alias("__first"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))).alias("__least"))
-    return least.select("__least.__row.*").select(*[F.col(f"`{c}`") for c in names])
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    least = rows.groupBy(F.col("doc_id").alias(own)).agg(F.min_by(row, F.struct(F.col("text"), F.to_json(row))).alias("__row"))
+    return least.select("__row.*").select(*[F.col(f"`{c}`") for c in names])

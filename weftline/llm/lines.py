@@ -12,14 +12,15 @@ by host, and the skew join of adaptive execution splits a hot host.
 
 Defined results: a null text stays null (no lines); an empty text is one blank line; lines
 without a visible character are never boilerplate; a null host is a host of its own;
-repeated rows each keep their row; an empty table gives no rows; other columns stay as they are.
+repeated rows each keep their row; an empty table gives no rows; other columns, whatever their
+names, stay as they are; a very long text's lines are all counted and searched.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 
-from .common import F, materialise, text_key, with_text
+from .common import F, materialise, spare, text_key, with_text
 
 RATIO = (1, 10)
 MIN_PAGES = 10
@@ -42,30 +43,38 @@ def boilerplate(docs: DataFrame, site: str = "source", ratio: tuple[int, int] =
     return common.groupBy("__site").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def with_boilerplate(docs: DataFrame, site: str = "source", ratio: tuple[int, int] = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs with a column __lines: the boilerplate hashes of the row's host, or null."""
-    sets = materialise(boilerplate(docs, site, ratio, min_pages), "boilerplate").withColumnRenamed("lines", "__lines")
-    small = (sets.agg(F.sum(F.size("__lines"))).first()[0] or 0) <= BROADCAST_LINES
+def with_boilerplate(docs: DataFrame, site: str = "source", ratio: tuple[int, int] = RATIO, min_pages: int = MIN_PAGES) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: the boilerplate hashes of the row's host, or null."""
+    own, lines = spare(docs, "__site"), spare(docs, "__lines")
+    sets = materialise(boilerplate(docs, site, ratio, min_pages), "boilerplate").select(F.col("__site").alias(own), F.col("lines").alias(lines))
+    small = (sets.agg(F.sum(F.size(lines))).first()[0] or 0) <= BROADCAST_LINES
     sets = F.broadcast(sets) if small else sets
-    return docs.join(sets, F.col(f"`{site}`").cast("string").eqNullSafe(F.col("__site")), "left").drop("__site")
+    return docs.join(sets, F.col(f"`{site}`").cast("string").eqNullSafe(F.col(own)), "left").drop(own), lines
 
 
-def _kept() -> Column:
-    kept = F.filter(_lines("text"), lambda x: ~F.array_contains("__lines", F.xxhash64(x)) | ~x.rlike(r"[^\s]"))
-    return F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+def _kept(lines: str) -> Column:
+    kept = F.filter(_lines("text"), lambda x: ~F.array_contains(lines, F.xxhash64(x)) | ~x.rlike(r"[^\s]"))
+    return F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def deduplicated(docs: DataFrame, site: str = "source", min_pages: int = MIN_PAGES) -> DataFrame:
     """docs without their hosts' boilerplate lines; n_chars follows, other columns stay."""
     names = docs.columns
-    return with_text(with_boilerplate(docs, site, min_pages=min_pages), _kept()).select(*[F.col(f"`{c}`") for c in names])
+    rows, lines = with_boilerplate(docs, site, min_pages=min_pages)
+    return with_text(rows, _kept(lines)).select(*[F.col(f"`{c}`") for c in names])
+
+
+def host(url: str | Column = "url") -> Column:
+    """The host of a web address, lower-case, without a leading www.; null where there is none. For tables of pages."""
+    return F.regexp_replace(F.lower(F.try_parse_url(F.col(url) if isinstance(url, str) else url, F.lit("HOST"))), r"^www\.", "")
 
 
 def line_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row."""
     slim = docs.select("doc_id", "source", "text")
-    out = with_boilerplate(slim).withColumn("kept", _kept())
-    dropped = F.when(F.col("__lines").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter(_lines("text"), lambda x: F.array_contains("__lines", F.xxhash64(x)) & x.rlike(r"[^\s]"))))
+    out, lines = with_boilerplate(slim)
+    out = out.withColumn("kept", _kept(lines))
+    dropped = F.when(F.col(lines).isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.filter(_lines("text"), lambda x: F.array_contains(lines, F.xxhash64(x)) & x.rlike(r"[^\s]"))))
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines("text"))).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 

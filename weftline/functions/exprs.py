@@ -62,8 +62,12 @@ def column_of(df: DataFrame, aliases: Sequence[str]) -> Column:
 
 # --- names and keys -----------------------------------------------------------------------------------------
 
-#: Fixed list: legal forms that name normalisation strips.
-LEGAL_FORMS = ["INCORPORATED", "CORPORATION", "COMPANY", "LIMITED", "INC", "CORP", "LLC", "LTD", "CO", "LP", "PLC", "GMBH", "SA", "NV", "AG"]
+# The legal forms of the three name normalisers, each in its own order.
+FORMS_ANYWHERE = ["INCORPORATED", "INC", "LLC", "L.L.C", "CORPORATION", "CORP", "CO", "COMPANY", "LTD", "LIMITED", "SA", "AG", "BV", "GMBH", "SPA", "S.P.A", "PLC"]
+FORMS_AT_END = [" INC", " CORP", " CORPORATION", " LLC", " LP", " CO", " COMPANY", " LTD", " LIMITED"]
+FORM_TOKENS = ["ag", "asa", "co", "company", "corp", "corporation", "gmbh", "group", "holding", "holdings", "inc", "incorporated", "international", "ltd", "llc", "lp", "plc", "sa", "sas", "se", "spa"]
+# Words that are no keywords of a name.
+STOP_WORDS = frozenset("THE AND OF FOR WITH IN ON AT TO FROM BY AS OR BUT SO IF THEN ELSE WHEN WHERE WHY HOW WHAT WHO WHICH THAT THIS THESE THOSE A AN".split())
 
 
 def slug(c: str | Column) -> Column:
@@ -82,27 +86,33 @@ def short_hash(*columns: str | Column, length: int = 16) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *[col(c).cast("string") for c in columns])), 1, length)
 
 
-def company_name(c: str | Column, strip_legal: bool = True) -> Column:
-    """Upper case, punctuation to spaces, legal forms away (unless strip_legal is off), spaces squeezed."""
-    name = F.regexp_replace(F.upper(col(c)), "[^A-Z0-9]+", " ")
-    name = F.regexp_replace(name, rf"\b({'|'.join(LEGAL_FORMS)})\b", " ") if strip_legal else name
-    return F.trim(F.regexp_replace(name, r"\s+", " "))
+def company_name(c: str | Column, compat: bool = False) -> Column:
+    """Upper case, punctuation to spaces, legal forms away, spaces squeezed; blank becomes null. compat leaves forms and spaces."""
+    name = F.regexp_replace(F.upper(col(c)), "[^A-Z0-9 ]+", " ")
+    if not compat:
+        name = F.regexp_replace(F.regexp_replace(name, rf"\b({'|'.join(FORMS_ANYWHERE)})\b", " "), r"\s+", " ")
+    return F.nullif(F.trim(name), F.lit(""))
 
 
 def company_name_end(c: str | Column) -> Column:
-    """Upper case; each legal form is stripped at the end only, once, in list order."""
-    name = F.trim(F.regexp_replace(F.upper(col(c)), "[^A-Z0-9]+", " "))
-    for form in LEGAL_FORMS:
-        name = F.trim(F.regexp_replace(name, f" {form}$", ""))
-    return name
+    """Upper case; each legal form goes once, in list order, if the name ends with it; then punctuation to spaces, squeezed."""
+    name = F.trim(F.upper(col(c)))
+    for form in FORMS_AT_END:
+        name = F.regexp_replace(name, rf"{form}\z", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\w\s]", " "), r"\s+", " "))
 
 
-def name_tokens(c: str | Column, drop: Sequence[str] = tuple(x.lower() for x in LEGAL_FORMS), longer_than: int = 0) -> Column:
+def name_tokens(c: str | Column, drop: Sequence[str] = tuple(FORM_TOKENS), longer_than: int = 0) -> Column:
     """Lower-case alphanumeric tokens without those to drop, of more than ``longer_than`` characters."""
     parts = F.split(F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " ")), " ")
     return F.filter(parts, lambda x: (x != "") & ~x.isin(*drop) & (F.length(x) > longer_than))
 
 
+def keywords(c: str | Column) -> Column:
+    """The words of a cleaned name of more than two letters that are no stop words."""
+    return F.filter(F.split(col(c), " "), lambda x: ~x.isin(*sorted(STOP_WORDS)) & (F.length(x) > 2))
+
+
 def last_of_path(c: str | Column, sep: str = ">") -> Column:
     return F.trim(F.element_at(F.split(col(c), sep), -1))
 

@@ -14,9 +14,20 @@ from . import graph as G
 # --- scenarios: rows (scenario, node) of removed nodes --------------------------------------------------------
 
 
+SCENARIOS = 500  # scenarios that are evaluated together
+
+
+def _scenarios(removed: DataFrame) -> DataFrame:
+    """The scenarios' names, for a broadcast: each multiplies the edge table once, so there may not be many."""
+    s = removed.select("scenario").distinct()
+    if s.limit(2 * SCENARIOS + 2).count() > 2 * SCENARIOS:
+        raise ValueError(f"over {2 * SCENARIOS} scenarios at once; impact() evaluates them in groups")
+    return F.broadcast(s)
+
+
 def without(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """scenario, src, dst of every scenario's surviving edges. Few scenarios; each multiplies the edge table once."""
-    s = F.broadcast(removed.select("scenario").distinct())
+    s = _scenarios(removed)
     r = removed.select("scenario", "node").distinct()
     x = edges.select("src", "dst").join(s)  # one copy of the edges for each scenario
     x = x.join(r.withColumnRenamed("node", "src"), ["scenario", "src"], "left_anti")
@@ -25,7 +36,7 @@ def without(edges: DataFrame, removed: DataFrame) -> DataFrame:
 
 def without_pairs(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """As ``without`` for removed pairs (scenario, src, dst), both directions."""
-    s = F.broadcast(removed.select("scenario").distinct())
+    s = _scenarios(removed)
     both = removed.select("scenario", "src", "dst").union(removed.select("scenario", F.col("dst").alias("src"), F.col("src").alias("dst")))
     return edges.select("src", "dst").join(s).join(both.distinct(), ["scenario", "src", "dst"], "left_anti")
 
@@ -48,13 +59,19 @@ def scenario_distances(edges: DataFrame, sources: DataFrame, cap: int) -> DataFr
 def impact(edges: DataFrame, removed: DataFrame, sources: DataFrame, targets: DataFrame, cap: int = 6) -> DataFrame:
     """For each scenario: the share of reached targets' weight that is lost, how many are cut off, the mean path growth of
     those still reached, and the entries (in-neighbours that a source reaches) that targets lose. targets: node, weight."""
+    removed = stored(removed.select("scenario", "node"))
+    n = removed.select("scenario").distinct().count()
+    if n > SCENARIOS:
+        groups = -(-n // (SCENARIOS // 2))  # by hash, so of uneven size
+        of = F.pmod(F.xxhash64("scenario"), F.lit(groups))
+        return reduce(DataFrame.unionByName, [stored(impact(edges, removed.where(of == g), sources, targets, cap)) for g in range(groups)])
     none = sources.select(F.lit("baseline").alias("scenario"), F.lit(None).cast("long").alias("node")).limit(1)
-    all_ = stored(without(edges, removed.select("scenario", "node").unionByName(none)))
+    all_ = stored(without(edges, removed.unionByName(none)))
     dist = scenario_distances(all_, sources, cap)
     entry = all_.join(dist.select("scenario", F.col("node").alias("src")), ["scenario", "src"], "left_semi").groupBy("scenario", F.col("dst").alias("node")).agg(F.count("*").alias("entries"))
     x = stored(dist.join(targets, "node").join(entry, ["scenario", "node"], "left").fillna(0, subset=["entries"]))
     base = x.where("scenario = 'baseline'").select("node", "weight", F.col("dist").alias("d0"), F.col("entries").alias("e0"))
-    grid = base.join(F.broadcast(removed.select("scenario").distinct()))
+    grid = base.join(_scenarios(removed))
     y = grid.join(x.where("scenario <> 'baseline'").select("scenario", "node", "dist", "entries"), ["scenario", "node"], "left")
     lost = F.col("dist").isNull()
     return y.groupBy("scenario").agg(

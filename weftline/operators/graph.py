@@ -42,11 +42,12 @@ def within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, sources: DataFrame, cap: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """node, dist (and the keys): hops from the nearest source of each key. sources: node and the keys."""
     keys = list(keys)
+    edges = stored(edges.select("src", "dst"))  # each round reads them again
     front = stored(sources.select(*keys, "node").distinct().withColumn("dist", F.lit(0)))
     seen, step = front, 0
     while (cap is None or step < cap) and not front.isEmpty():
         step += 1
-        reached = front.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node")).distinct()
+        reached = front.join(edges, F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node")).distinct()
         front = stored(reached.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("dist", F.lit(step)))
         seen = stored(seen.unionByName(front)) if step % 8 == 0 else seen.unionByName(front)
     return seen
@@ -88,9 +89,18 @@ def two_hop(edges: DataFrame, k: int | None = None) -> DataFrame:
     return far.withColumn("__n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("__n") <= k).drop("__n")
 
 
+def two_hop_flags(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs with is_two_hop: dst ends an undirected walk of two steps from src (it may be src itself, or one step away too)."""
+    both = stored(undirected(edges))
+    left = pairs.select("src", "dst").distinct().join(both.select("src", F.col("dst").alias("mid")), "src")
+    walks = left.join(both.select(F.col("src").alias("mid"), F.col("dst")), ["mid", "dst"], "left_semi").select("src", "dst").distinct()
+    return pairs.join(walks.withColumn("__w", F.lit(True)), ["src", "dst"], "left").withColumn("is_two_hop", F.col("__w").isNotNull()).drop("__w")
+
+
 def shortest(edges: DataFrame, sources: DataFrame, cost: str = "cost", cap: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """node, dist: the least cost from any source of each key. Bellman-Ford: only improved nodes go on."""
     keys = list(keys)
+    edges = stored(edges.select("src", "dst", cost))
     best = stored(sources.select(*keys, "node").distinct().withColumn("dist", F.lit(0.0)))
     front = best
     while not front.isEmpty():
@@ -114,7 +124,7 @@ def support(pairs: DataFrame, caps: Sequence[int]) -> DataFrame:
 
 def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame, longest: int, k: int) -> DataFrame:
     """The k shortest simple paths of at most ``longest`` edges from start to end nodes (ties by the path itself)."""
-    e = edges.select("src", "dst")
+    e = stored(edges.select("src", "dst"))
     paths = start.select(F.array("node").alias("path"), F.col("node").alias("at"))
     goal = end.select(F.col("node").alias("goal"))
     found = paths.join(goal, F.col("at") == F.col("goal"), "left_semi").select("path")
@@ -222,16 +232,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
     share = stored(e.join(e.groupBy("src").agg(F.sum("w").alias("t")), "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")))
     n = nodes.count()
     rank = stored(nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank")))
-    ends = share.select(F.col("src").alias("node")).distinct()
+    ends = share.select(F.col("src").alias("node")).distinct().withColumn("__e", F.lit(True))
+    rank = stored(rank.join(ends, "node", "left").select("node", "rank", F.col("__e").isNull().alias("dangles")))
+    dangling = rank.agg(F.sum(F.when(F.col("dangles"), F.col("rank")))).first()[0] or 0.0
     for _ in range(rounds):
-        dangling = rank.join(ends, "node", "left_anti").agg(F.sum("rank")).first()[0] or 0.0
         flow = share.join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
-        new = rank.join(flow, F.col("node") == F.col("to"), "left").select("node", F.col("rank").alias("old"), (alpha * (F.coalesce("flow", F.lit(0.0)) + dangling / n) + (1 - alpha) / n).alias("rank"))
+        new = rank.join(flow, F.col("node") == F.col("to"), "left").select("node", "dangles", F.col("rank").alias("old"), (alpha * (F.coalesce("flow", F.lit(0.0)) + dangling / n) + (1 - alpha) / n).alias("rank"))
         new = stored(new)
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        rank = new.select("node", "rank")
+        change, dangling = (x or 0.0 for x in new.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum(F.when(F.col("dangles"), F.col("rank")))).first())
+        rank = new.select("node", "rank", "dangles")
         if change < tolerance:
             break
+    rank = rank.select("node", "rank")
     total = rank.agg(F.sum("rank")).first()[0] or 1.0
     return rank.select("node", (F.col("rank") / total).alias("rank"))
 
@@ -241,26 +253,54 @@ def _spread(values: DataFrame, edges: DataFrame, by: str, to: str) -> DataFrame:
 
 
 def _unit(df: DataFrame) -> DataFrame:
+    """Stored, and brought to length one."""
     df = stored(df)
     norm = (df.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0) ** 0.5
     return df.withColumn("v", F.col("v") / norm) if norm else df
 
 
-def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, authority, hub, each of length one after every round."""
-    hub = nodes.select("node", F.lit(1.0).alias("v"))
-    for _ in range(rounds):
-        authority = _unit(nodes.select("node").join(_spread(hub, edges, "src", "dst"), F.col("node") == F.col("to"), "left").select("node", F.coalesce("s", F.lit(0.0)).alias("v")))
-        hub = _unit(nodes.select("node").join(_spread(authority, edges, "dst", "src"), F.col("node") == F.col("to"), "left").select("node", F.coalesce("s", F.lit(0.0)).alias("v")))
+def _far(new: DataFrame, old: DataFrame | None) -> float:
+    """The total change of v."""
+    if old is None:
+        return float("inf")
+    return new.join(old.withColumnRenamed("v", "u"), "node").agg(F.sum(F.abs(F.col("v") - F.col("u")))).first()[0] or 0.0
+
+
+def hits(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6, stride: int = 4) -> DataFrame:
+    """node, authority, hub, each of length one; until ``stride`` rounds change the authorities by less than the tolerance.
+
+    Scores are brought to length one after every stride: a length does not change a direction.
+    """
+    nodes, edges = stored(nodes.select("node")), stored(edges.select("src", "dst"))
+    spread = lambda v, by, to: nodes.join(_spread(v, edges, by, to), F.col("node") == F.col("to"), "left").select("node", F.coalesce("s", F.lit(0.0)).alias("v"))
+    hub, before = nodes.withColumn("v", F.lit(1.0)), None
+    for done in range(0, rounds, stride):
+        for _ in range(min(stride, rounds - done)):
+            authority = spread(hub, "src", "dst")
+            hub = spread(authority, "dst", "src")
+        hub = _unit(hub)
+        authority = _unit(spread(hub, "src", "dst"))
+        if _far(authority, before) < tolerance:
+            break
+        before = authority
     return authority.withColumnRenamed("v", "authority").join(hub.withColumnRenamed("v", "hub"), "node")
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, v: power iteration on the symmetrised edges."""
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 200, tolerance: float = 1e-10, stride: int = 8) -> DataFrame:
+    """node, v: power iteration on the symmetrised edges, in strides as ``hits``, until two strides in a row agree.
+
+    A bipartite part makes the plain iteration swing between two vectors; each round adds the vector itself, which
+    leaves the limit where it is and ends the swing.
+    """
     both = stored(edges.select("src", "dst").union(edges.select("dst", "src")))
-    x = _unit(nodes.select("node", F.lit(1.0).alias("v")))
-    for _ in range(rounds):
-        x = _unit(x.join(_spread(x.withColumnRenamed("node", "n2").select(F.col("n2").alias("node"), "v"), both, "src", "dst"), F.col("node") == F.col("to"), "left").select("node", F.coalesce("s", F.lit(0.0)).alias("v")))
+    x, before = stored(nodes.select("node", F.lit(1.0).alias("v"))), None
+    for done in range(0, rounds, stride):
+        for _ in range(min(stride, rounds - done)):
+            x = x.join(_spread(x.withColumnRenamed("node", "n2").select(F.col("n2").alias("node"), "v"), both, "src", "dst"), F.col("node") == F.col("to"), "left").select("node", (F.col("v") + F.coalesce("s", F.lit(0.0))).alias("v"))
+        x = _unit(x)
+        if _far(x, before) < tolerance:
+            break
+        before = x
     return x
 
 

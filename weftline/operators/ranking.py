@@ -112,6 +112,31 @@ def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFr
     return x.agg((F.sum("won") / (F.sum("pos") * F.sum(F.col("n") - F.col("pos")))).alias("auc"))
 
 
+def sliced_metrics(scores: DataFrame, pairs: dict[str, Column], positives: dict[str, Column], sources: dict[str, Column], k: int = 10, score: str = "score", label: str = "label") -> DataFrame:
+    """slice, n, mrr, map, recall: macro means over slices of the lists.
+
+    pairs keep the rows that match; positives keep the list and drop the other positives' labels; sources keep whole
+    lists. A source without a positive left is not in a slice.
+    """
+    out = None
+    frames = [(n, scores.where(c)) for n, c in (pairs | sources).items()]
+    frames += [(n, scores.withColumn(label, F.when(c, F.col(label)).otherwise(0))) for n, c in positives.items()]
+    for name, df in frames:
+        part = list_metrics(df, (k,), score=score, label=label).agg(F.lit(name).alias("slice"), F.count("*").alias("n"), F.avg("rr").alias("mrr"), F.avg("ap").alias("map"), F.avg(f"r{k}").alias("recall"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def daggers(runs: DataFrame, model: str, value: str, z: float = 1.96) -> DataFrame:
+    """model, n, mean, half (of the 95 % interval), is_best, dagger: the best model's lead over the second is within the sum of their standard errors."""
+    x = runs.groupBy(model).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (z * F.coalesce(F.stddev_samp(value), F.lit(0.0)) / F.sqrt(F.count(value))).alias("half"))
+    w = Window.orderBy(F.desc("mean"), model)  # one row a model
+    x = x.withColumn("r", F.row_number().over(w))
+    near = F.col("mean") - F.lead("mean").over(w) <= (F.col("half") + F.lead("half").over(w)) / z
+    tie = (F.col("r") == 1) & (F.col("n") >= 2) & (F.lead("n").over(w) >= 2) & near
+    return x.select(model, "n", "mean", "half", (F.col("r") == 1).alias("is_best"), F.coalesce(tie, F.lit(False)).alias("dagger"))
+
+
 # --- heuristics and candidates ------------------------------------------------------------------------------
 
 
@@ -186,6 +211,32 @@ def cascade_pool(seeds: DataFrame, nodes: DataFrame, levels: Sequence[str], leas
     return x.where(F.col("rank") <= k).select("node", "dst", "level", "rank")
 
 
+def hubs(degrees: DataFrame, share: float = 0.01) -> DataFrame:
+    """The nodes of highest degree, ``share`` of all, one at least; ties to the smaller node."""
+    return degrees.orderBy(F.desc("degree"), "node").limit(max(1, int(degrees.count() * share))).select("node")
+
+
+def priority_pool(near: DataFrame, core: DataFrame, adjacent: DataFrame, hub: DataFrame, background: DataFrame, degrees: DataFrame, budget: int) -> DataFrame:
+    """src, dst, priority, dist: candidates of each seed in order of priority, then falling degree, ``budget`` of them.
+
+    near: src, dst, dist (priority: the distance); core nodes have priority 0 always; what else is no neighbour is
+    adjacent 1, hub 2 or background 5. The four node lists are short and the same for each seed.
+    """
+    seeds = near.select("src").distinct()
+    short = None
+    for p, nodes in ((0, core), (1, adjacent), (2, hub), (5, background)):
+        part = nodes.select(F.col("node").alias("dst")).distinct().withColumn("p", F.lit(p))
+        short = part if short is None else short.unionByName(part)
+    short = short.groupBy("dst").agg(F.min("p").alias("p"))
+    if short.count() > 10_000:
+        raise ValueError("the lists of core, adjacent, hub and background nodes must be short")
+    listed = seeds.join(F.broadcast(short))  # each seed with each node of the short lists
+    x = near.select("src", "dst", "dist").join(listed, ["src", "dst"], "full")
+    x = x.withColumn("priority", F.when(F.col("p") == 0, 0).otherwise(F.coalesce("dist", "p"))).join(degrees.select(F.col("node").alias("dst"), "degree"), "dst", "left").fillna(0, subset=["degree"])
+    w = Window.partitionBy("src").orderBy("priority", F.desc("degree"), "dst")
+    return x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= budget).select("src", "dst", "priority", "dist")
+
+
 def weighted_sample(df: DataFrame, weight: Column, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """n rows without replacement, chances by weight: the smallest -ln(u) / weight, u from a hash of the keys."""
     u = (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))

@@ -49,7 +49,7 @@ def list_metrics(t: Tables) -> DataFrame:
     return R.list_metrics(t.scores, (10,), score="points").select("src", *[F.round(c, 6).alias(c) for c in ("rr", "ap", "ndcg", "p10", "r10")], "hit10")
 
 
-@query("R1 R4 R15", """WITH r AS (SELECT src, label, n_lines = 1 AS one, row_number() OVER (PARTITION BY src ORDER BY points DESC, dst) AS rank, sum(label) OVER (PARTITION BY src) AS total FROM scores), m AS (SELECT src, max(1.0 / rank) FILTER (label = 1) AS rr FROM r WHERE total > 0 GROUP BY src) SELECT count(*) AS n, round(avg(rr), 6) AS mrr FROM m""")
+@query("R1", """WITH r AS (SELECT src, label, n_lines = 1 AS one, row_number() OVER (PARTITION BY src ORDER BY points DESC, dst) AS rank, sum(label) OVER (PARTITION BY src) AS total FROM scores), m AS (SELECT src, max(1.0 / rank) FILTER (label = 1) AS rr FROM r WHERE total > 0 GROUP BY src) SELECT count(*) AS n, round(avg(rr), 6) AS mrr FROM m""")
 def mean_reciprocal_rank(t: Tables) -> DataFrame:
     return R.list_metrics(t.scores, (10,), score="points").agg(F.count("*").alias("n"), F.round(F.avg("rr"), 6).alias("mrr"))
 
@@ -111,7 +111,7 @@ def katz_scores(t: Tables) -> DataFrame:
 
 @query("H3 C6", None)
 def pagerank_pair_features(t: Tables) -> DataFrame:
-    r = G.pagerank(t.nodes, t.pairs, rounds=5, tolerance=0.0)
+    r = G.pagerank(t.nodes, t.pairs)
     x = t.pairs.join(r.withColumnsRenamed({"node": "src", "rank": "a"}), "src").join(r.withColumnsRenamed({"node": "dst", "rank": "b"}), "dst")
     return x.select("src", "dst", F.round(F.col("a") * F.col("b"), 10).alias("product"), F.round(F.col("a") + F.col("b"), 8).alias("total"), F.round(F.abs(F.col("a") - F.col("b")), 8).alias("difference"))
 
@@ -145,7 +145,7 @@ def attribute_index(t: Tables) -> DataFrame:
     return R.attribute_index(t.nodes, "segment")
 
 
-@query("H13 S18", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm2 FROM embeddings")
+@query("S18", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm2 FROM embeddings")
 def embedding_norms(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(F.aggregate(F.zip_with("embedding", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, v: a + v), 5).alias("norm2"))
 

@@ -82,12 +82,18 @@ def names_and_keys(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", u.alias("uid"), X.uid_key(u).alias("id"), X.slug("c_name").alias("slug"), X.last_of_path(F.concat(F.lit("A > B > "), "c_mktsegment")).alias("leaf"), X.code_value(F.concat(F.col("c_nationkey").cast("string"), F.lit(".0"))).alias("code"))
 
 
-@query("P17 P18 P19 P20 T1", r"""SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(upper(s_name || ', Inc. Holding Co'), '[^A-Z0-9]+', ' ', 'g'), '\b(INCORPORATED|CORPORATION|COMPANY|LIMITED|INC|CORP|LLC|LTD|CO|LP|PLC|GMBH|SA|NV|AG)\b', ' ', 'g'), '\s+', ' ', 'g')) AS v1,
-  regexp_replace(trim(regexp_replace(upper(s_name || ', Inc. Holding Co'), '[^A-Z0-9]+', ' ', 'g')), ' CO$', '') AS v2,
-  array_to_string(list_filter(string_split(trim(regexp_replace(lower(s_name || ', Inc. Holding Co'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('inc', 'co')), ' ') AS v3 FROM supplier""")
+NAMES = "names AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name || ', Inc.' WHEN 1 THEN s_name || ' Limited Inc' WHEN 2 THEN 'The ' || s_name || ' L.L.C. Co' ELSE s_name || ' Holding GmbH' END AS name FROM supplier)"
+ENDS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(upper(name)), ' INC$', ''), ' CORP$', ''), ' CORPORATION$', ''), ' LLC$', ''), ' LP$', ''), ' CO$', ''), ' COMPANY$', ''), ' LTD$', ''), ' LIMITED$', '')"
+
+
+@query("P17 P18 P19 P20 T1", rf"""WITH {NAMES}, v AS (SELECT *, trim(regexp_replace(regexp_replace({ENDS}, '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS v2 FROM names)
+SELECT s_suppkey, trim(regexp_replace(regexp_replace(regexp_replace(upper(name), '[^A-Z0-9 ]+', ' ', 'g'), '\b(INCORPORATED|INC|LLC|L.L.C|CORPORATION|CORP|CO|COMPANY|LTD|LIMITED|SA|AG|BV|GMBH|SPA|S.P.A|PLC)\b', ' ', 'g'), '\s+', ' ', 'g')) AS v1, v2,
+  array_to_string(list_filter(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('co', 'gmbh', 'holding', 'inc')), ' ') AS v3,
+  array_to_string(list_filter(string_split(v2, ' '), lambda x: x <> 'THE' AND len(x) > 2), ' ') AS words FROM v""")
 def company_names(t: Tables) -> DataFrame:
-    n = F.concat("s_name", F.lit(", Inc. Holding Co"))
-    return t.supplier.select("s_suppkey", X.company_name(n).alias("v1"), X.company_name_end(n).alias("v2"), F.array_join(X.name_tokens(n), " ").alias("v3"))
+    n = F.expr("CASE s_suppkey % 4 WHEN 0 THEN s_name || ', Inc.' WHEN 1 THEN s_name || ' Limited Inc' WHEN 2 THEN 'The ' || s_name || ' L.L.C. Co' ELSE s_name || ' Holding GmbH' END")
+    end = X.company_name_end(n)
+    return t.supplier.select("s_suppkey", X.company_name(n).alias("v1"), end.alias("v2"), F.array_join(X.name_tokens(n), " ").alias("v3"), F.array_join(X.keywords(end), " ").alias("words"))
 
 
 @query("P21 P22", "SELECT n_nationkey, coalesce(CASE r_name WHEN 'AFRICA' THEN 'AF' WHEN 'AMERICA' THEN 'AM' END, substr(r_name, 1, 2)) AS code, coalesce(CASE r_name WHEN 'AFRICA' THEN 'South' WHEN 'EUROPE' THEN 'North' END, 'Unknown') AS half FROM nation JOIN region ON n_regionkey = r_regionkey")

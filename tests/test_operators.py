@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import exprs as X
-from weftline.operators import cuts, decisions, embeddings, events, graph, ranking, resolve, tables
+from weftline.operators import cuts, decisions, embeddings, events, graph, order, ranking, resolve, tables
 from weftline.plans import registry
 from weftline.sources import readers, sinks
 from weftline.streaming import incremental
@@ -232,6 +232,91 @@ def test_dense_index_and_fold(spark):
     assert sorted((r.raw_id, r.node_id) for r in events.entity_index(df).collect()) == [(3, 0), (5, 1), (9, 2), (100, 3)]
 
 
+def test_tiles_of_a_sampled_table_are_even(spark):
+    """So many rows that ranges come from a sample, and a column that only some readers of the ranges want."""
+    df = spark.range(600_000, numPartitions=8).select("id", (F.xxhash64("id") % 100_003).alias("score"), F.rand(1).alias("z"))
+    tiles = ranking.deciles(df, "score", ["id"]).groupBy("tile").agg(F.count("*").alias("n"), F.sum("z"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy("tile").collect()
+    assert [r.n for r in tiles] == [60_000] * 10 and all(a.low >= b.high for a, b in zip(tiles, tiles[1:]))
+
+
+def test_positions_and_running_sums(spark):
+    rng = random.Random(6)
+    values = [(i, rng.choice([None, *range(40)]), rng.randrange(9)) for i in range(500)]
+    df = spark.createDataFrame(values, "id long, v long, w long").repartition(7)
+    first = sorted(values, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    got = order.numbered(df, ["v", "id"], "at", "n").collect()
+    assert {r.id: (r.at, r.n) for r in got} == {r[0]: (i, 500) for i, r in enumerate(first)}
+    upto, want = 0, {}
+    for i, _, w in first:
+        upto += w
+        want[i] = upto
+    assert {r.id: r.s for r in order.running(df, ["v", "id"], {"s": "w"}).collect()} == want
+    assert order.numbered(df.limit(0), ["v"]).count() == 0 and order.running(df.limit(0), ["v"], {"s": "w"}).columns == ["id", "v", "w", "s"]
+
+
+def test_reach_counts_and_two_hops(spark):
+    rng = random.Random(9)
+    e = random_graph(rng, 90, 130)
+    near, both = {}, {}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+    nodes, anchors = spark.range(90).withColumnRenamed("id", "node"), spark.range(70).withColumnRenamed("id", "node")
+    got = {r.node: (r.n, r.n_others) for r in graph.reach_counts(nodes, frame(spark, e), anchors).collect()}
+    want = {u: sum(v < 70 for v in reach(near, [u])) for u in range(90)}
+    assert got == {u: (n, n - (u < 70)) for u, n in want.items() if n}
+    hub = sorted({*e, *((0, i) for i in range(1, 80))})
+    for pairs in (e, hub):
+        both = {}
+        for a, b in pairs:
+            both.setdefault(a, set()).add(b)
+            both.setdefault(b, set()).add(a)
+        far = {u: sorted({w for v in vs for w in both[v]} - vs - {u})[:5] for u, vs in both.items()}
+        assert sorted((r.src, r.dst) for r in graph.two_hop(frame(spark, pairs), 5).collect()) == sorted((u, w) for u, ws in far.items() for w in ws)
+
+
+def test_summary_and_criticality(spark):
+    e = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4)]
+    nodes = spark.range(6).withColumnRenamed("id", "node")
+    s = graph.summary(nodes, frame(spark, e)).first()
+    assert (s.nodes, s.edges, s.n_weak, s.n_strong, s.core_max, s.core_median, s.in_degree_max) == (6, 5, 2, 4, 2, 1.5, 1)
+    assert s.density == pytest.approx(5 / 30) and s.weak_share == pytest.approx(5 / 6) and s.strong_share == pytest.approx(0.5)
+    got = {r.node: r for r in graph.criticality(nodes, frame(spark, e), nodes).collect()}
+    assert got[3].closeness == pytest.approx(3 / (1 + 2 + 3) * 3 / 5) and got[5].criticality == 0
+    assert got[2].betweenness == pytest.approx(5 / 20) and got[2].criticality == pytest.approx(0.4 * 5 / 20 + 0.3 * got[2].closeness + 0.15 * 1 / 5 + 0.15 * 2 / 5)
+
+
+def test_curves_paths_and_pruning(spark):
+    runs = spark.createDataFrame([("targeted:5", 3.0), ("random0:5", 1.0), ("random1:5", 2.0), ("random2:5", 4.0)], "scenario string, v double")
+    got = {r.strategy: (r.size, r.n_runs, r.mean, r.p05, r.p95) for r in decisions.curve_summary(runs, "v").collect()}
+    assert got["targeted"] == (5, 1, 3.0, 3.0, 3.0) and got["random"][:2] == (5, 3) and got["random"][2:] == pytest.approx((7 / 3, 1.1, 3.8))
+    one = lambda *ns: spark.createDataFrame([(n,) for n in ns], "node long")
+    e = frame(spark, [(0, 1), (1, 2), (0, 3), (3, 4), (4, 2), (1, 5)])
+    assert {r.node: (r.before, r.after) for r in decisions.best_paths(e, one(1), one(0), one(2, 5, 9)).collect()} == {2: (2, 3), 5: (2, None), 9: (None, None)}
+    ranked = spark.createDataFrame([(i, 10 - i) for i in range(6)], "node long, v long")
+    assert sorted(r.node for r in decisions.pruned(ranked, one(5, 4), 3, [F.desc("v")]).collect()) == [0, 4, 5]
+    assert sorted(r.node for r in decisions.pruned(ranked, one(5, 4), 1, [F.desc("v")]).collect()) == [4, 5]
+
+
+def test_stacked_regression(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(1.2 * x[:, 0] - 0.7 * x[:, 1] + 0.3)))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, label int")
+    w, b, scored = ranking.stacked(df, ["a", "b"])
+    z, v = np.c_[x, np.ones(400)], np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ v))
+        v -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag([1.0, 1.0, 0.0]), z.T @ (p - y) + np.array([v[0], v[1], 0.0]))
+    assert np.allclose([*w, b], v, atol=1e-3)
+    r = ranking.probability_losses(scored, "probability").first()
+    p = 1 / (1 + np.exp(-z @ v))
+    assert r.n == 400 and r.log_loss == pytest.approx(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean(), abs=1e-4) and r.brier == pytest.approx(((p - y) ** 2).mean(), abs=1e-4)
+
+
 def test_hash_numbers_and_lists(spark):
     df = spark.createDataFrame([("", "1,250", '["a", "b "]'), ("foobar", "12%", "x; y;"), ("é", "bad", "p,q")], "s string, n string, l string")
     rows = df.select(X.fnv1a("s").alias("h"), X.number("n").alias("n"), X.items("l").alias("l")).collect()

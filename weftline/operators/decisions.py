@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from . import graph as G
+from .order import running
 
 # --- scenarios: rows (scenario, node) of removed nodes --------------------------------------------------------
 
@@ -112,6 +113,49 @@ def robustness_ratio(results: DataFrame, metric: str) -> DataFrame:
     return y.withColumn("ratio", F.when(F.col("random") > 0, F.col("targeted") / F.col("random")))
 
 
+def curve_summary(results: DataFrame, metric: str) -> DataFrame:
+    """strategy, size, n_runs, and mean, 5 % and 95 % quantiles of a metric over the runs. Scenarios are named strategy[run]:size."""
+    x = results.select(F.regexp_extract("scenario", "^([a-z_]+)", 1).alias("strategy"), F.element_at(F.split("scenario", ":"), -1).cast("long").alias("size"), F.col(metric).alias("v"))
+    return x.groupBy("strategy", "size").agg(F.count("*").alias("n_runs"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.05)).alias("p05"), F.percentile("v", F.lit(0.95)).alias("p95"))
+
+
+def best_paths(edges: DataFrame, removed: DataFrame, sources: DataFrame, targets: DataFrame, cap: int | None = None) -> DataFrame:
+    """node, before, after: hops from the nearest source with all nodes and without the removed ones; null where there is no way."""
+    gone = removed.select("node").distinct()
+    left = edges.select("src", "dst").join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti")
+    x = targets.select("node").distinct().join(G.distances(edges, sources, cap).select("node", F.col("dist").alias("before")), "node", "left")
+    after = G.distances(left, sources.join(gone, "node", "left_anti"), cap).join(gone, "node", "left_anti")
+    return x.join(after.select("node", F.col("dist").alias("after")), "node", "left")
+
+
+def pruned(ranked: DataFrame, protected: DataFrame, most: int, order: Sequence[Column]) -> DataFrame:
+    """At most ``most`` of the nodes: the protected ones (all of them, if they are more), then the best by the order."""
+    x = ranked.join(protected.select("node").distinct().withColumn("__p", F.lit(1)), "node", "left").withColumn("is_protected", F.col("__p").isNotNull()).drop("__p")
+    kept = x.where("is_protected")
+    room = max(most - kept.count(), 0)
+    return kept.unionByName(x.where("NOT is_protected").orderBy(*order).limit(room))
+
+
+def weights(nodes: DataFrame, amounts: DataFrame, key: str, amount: str) -> DataFrame:
+    """node, raw, weight, logged: the summed amounts of the node's key; weight is not below 0, logged is log(1 + weight). Keys without amounts: 0."""
+    total = amounts.groupBy(key).agg(F.sum(amount).cast("double").alias("raw"))
+    x = nodes.select("node", key).join(total, key, "left").fillna(0.0, subset=["raw"]).withColumn("weight", F.greatest("raw", F.lit(0.0)))
+    return x.select("node", "raw", "weight", F.log1p("weight").alias("logged"))
+
+
+def code_universe(membership: DataFrame, names: dict[str, str], tops: Sequence[str]) -> DataFrame:
+    """code, code_name, n_nodes, and for each flag of ``tops`` the number of flagged nodes and their share of the code's nodes.
+
+    membership: node, code, name and the flags. A code's name is its most frequent one that is not empty (ties: the
+    first in order), unless ``names`` overrides it.
+    """
+    x = membership.dropDuplicates(["node", "code", "name"])
+    mode = x.where(F.trim("name") != "").groupBy("code", "name").agg(F.count("*").alias("n")).groupBy("code").agg(F.min(F.struct((-F.col("n")).alias("n"), "name")).alias("m"))
+    out = x.groupBy("code").agg(F.countDistinct("node").alias("n_nodes"), *[F.countDistinct(F.when(F.col(t), F.col("node"))).alias(t) for t in tops]).join(mode.select("code", F.col("m.name").alias("mode")), "code", "left")
+    fixed = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[F.col("code")] if names else F.lit(None).cast("string")
+    return out.select("code", F.coalesce(fixed, "mode", F.lit("")).alias("code_name"), "n_nodes", *[c for t in tops for c in (F.col(t).alias(f"{t}_count"), (F.col(t) / F.col("n_nodes")).alias(f"{t}_share"))])
+
+
 def greedy(edges: DataFrame, shortlist: list[int], sources: DataFrame, targets: DataFrame, k: int, objective: str = "weight_lost", cap: int = 6) -> list[tuple[int, float]]:
     """k rounds: each evaluates every shortlisted node on top of those chosen, in one pass, and takes the first best."""
     spark, chosen = edges.sparkSession, []
@@ -131,8 +175,8 @@ def greedy(edges: DataFrame, shortlist: list[int], sources: DataFrame, targets:
 def _mid_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Mean ranks from the distinct values' counts."""
     n = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(n.withColumn(out, before + (F.col("__n") + 1) / 2).drop("__n"), column)
+    n = running(n, [column], {"__upto": "__n"})
+    return df.join(n.select(column, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out)), column)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -187,9 +231,10 @@ def rule_decisions(items: DataFrame, rules: DataFrame, key: str = "item", code:
     return out.select(key, "system", F.when(F.col("i") & F.col("e"), "conflict").when(F.col("i"), "include").when(F.col("e"), "exclude").otherwise("none").alias("decision"))
 
 
-def rule_coverage(items: DataFrame, rules: DataFrame, key: str = "item", code: str = "code") -> DataFrame:
-    """Distinct items that each rule matches."""
-    return rules.join(items, code, "left").groupBy(code, "system").agg(F.countDistinct(key).alias("n_items"))
+def rule_coverage(items: DataFrame, rules: DataFrame, key: str = "item", code: str = "code", flags: Sequence[str] = ()) -> DataFrame:
+    """Distinct items that each rule matches, and how many of them have each flag."""
+    per_flag = [F.countDistinct(F.when(F.col(f), F.col(key))).alias(f"n_{f}") for f in flags]
+    return rules.join(items, code, "left").groupBy(code, "system").agg(F.countDistinct(key).alias("n_items"), *per_flag)
 
 
 # --- records --------------------------------------------------------------------------------------------------

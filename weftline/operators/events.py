@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .order import numbered
 
 
 def normalise(raw: DataFrame, required: Sequence[str], dates: Sequence[str], ids: Sequence[str]) -> DataFrame:
@@ -65,12 +66,8 @@ def overlap_dedup(df: DataFrame, keys: Sequence[str], start: str, end: Column, t
 
 
 def entity_index(ids: DataFrame, raw: str = "raw_id") -> DataFrame:
-    """node_id 0 .. N-1 in ascending order of id, in two steps: ranges are sorted in parallel, then each adds the counts before it."""
-    parts = ids.select(raw).distinct().repartitionByRange(F.col(raw)).withColumn("__p", F.spark_partition_id())
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    base = parts.groupBy("__p").count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0))).select("__p", "__base")
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(raw)) - 1
-    return parts.withColumn("__own", own).join(F.broadcast(base), "__p").select(raw, (F.col("__own") + F.col("__base")).alias("node_id"))
+    """node_id 0 .. N-1 in ascending order of id; ranges are sorted in parallel."""
+    return numbered(ids.select(raw).distinct(), [raw], "node_id")
 
 
 def map_both(edges: DataFrame, index: DataFrame, raw: str = "raw_id", src: str = "src", dst: str = "dst") -> DataFrame:

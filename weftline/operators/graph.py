@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
+from .order import numbered
 
 
 def simple_edges(edges: DataFrame, view: Column | None = None, flags: Sequence[str] = ()) -> DataFrame:
@@ -80,9 +81,19 @@ def expand_until(edges: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
 
 
 def two_hop(edges: DataFrame, k: int | None = None) -> DataFrame:
-    """src, dst at exactly two undirected hops; with k, the k smallest dst of each src."""
+    """src, dst at exactly two undirected hops; with k, the k smallest dst of each src.
+
+    With k, a node offers each neighbour no more than its first k + 1 + (the neighbour's degree) neighbours: of these,
+    all but k may be the neighbour itself or next to it. So a hub does not pair all its neighbours, and nothing is lost.
+    """
     both = stored(undirected(edges))
-    far = both.alias("a").join(both.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).where("src <> dst").distinct()
+    near, offers = both, both.withColumn("place", F.lit(0))
+    on = F.col("a.dst") == F.col("b.src")
+    if k is not None:
+        near = both.join(both.groupBy("src").agg(F.count("*").alias("degree")), "src")
+        offers = both.withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
+        on = on & (F.col("b.place") <= F.col("a.degree") + k + 1)
+    far = near.alias("a").join(offers.alias("b"), on).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).where("src <> dst").distinct()
     far = far.join(both, ["src", "dst"], "left_anti")
     if k is None:
         return far
@@ -122,6 +133,49 @@ def support(pairs: DataFrame, caps: Sequence[int]) -> DataFrame:
     return pairs.groupBy("node").agg(*[F.count_if(F.col("dist") <= c).alias(f"within_{c}") for c in caps])
 
 
+def reach_counts(nodes: DataFrame, edges: DataFrame, anchors: DataFrame) -> DataFrame:
+    """node, n, n_others: how many anchors each node reaches along the edges, itself included or not.
+
+    Strong components are condensed; 62 anchors travel as the bits of one number, so there is a row for each
+    component and number, not one for each node and anchor. Only new bits go on.
+    """
+    label = stored(strong_components(nodes, edges))
+    a, b = label.withColumnsRenamed({"node": "src", "component": "ca"}), label.withColumnsRenamed({"node": "dst", "component": "cb"})
+    steps = stored(edges.select("src", "dst").join(a, "src").join(b, "dst").where("ca <> cb").select(F.col("cb").alias("component"), F.col("ca").alias("to")).distinct())
+    place = numbered(anchors.select("node").distinct(), ["node"], "place").withColumn("word", F.floor(F.col("place") / 62))
+    bit = F.expr("shiftleft(1L, CAST(place % 62 AS INT))")
+    seen = stored(place.join(label, "node").groupBy("component", "word").agg(F.bit_or(bit).alias("bits")))
+    front = seen
+    while not front.isEmpty():
+        offered = front.join(steps, "component").groupBy(F.col("to").alias("component"), "word").agg(F.bit_or("bits").alias("more"))
+        both = seen.join(offered, ["component", "word"], "full").fillna(0, subset=["bits", "more"])
+        both = stored(both.withColumn("new", F.col("more").bitwiseAND(F.bitwise_not("bits"))))
+        seen = both.select("component", "word", F.col("bits").bitwiseOR(F.col("more")).alias("bits"))
+        front = both.where("new <> 0").select("component", "word", F.col("new").alias("bits"))
+    counts = seen.groupBy("component").agg(F.sum(F.bit_count("bits")).alias("n"))
+    own = anchors.select("node").distinct().withColumn("own", F.lit(1))
+    x = label.join(counts, "component").join(own, "node", "left")
+    return x.select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_others"))
+
+
+def support_summary(found: DataFrame, targets: DataFrame, caps: Sequence[float], kind: str) -> DataFrame:
+    """kind, cap, and over all targets: how many are supported within the cap (by two or more sources), their share and
+    share of weight, and mean, median and 90 % quantile of the number of sources. found: anchor, node, dist; targets: node, weight."""
+    counts = found.groupBy("node").agg(*[F.count_if(F.col("dist") <= c).alias(f"c{i}") for i, c in enumerate(caps)])
+    each = F.array(*[F.struct(F.lit(float(c)).alias("cap"), F.coalesce(f"c{i}", F.lit(0)).alias("n")) for i, c in enumerate(caps)])
+    x = targets.select("node", "weight").join(counts, "node", "left").select("weight", F.explode(each).alias("x")).select("weight", "x.*")
+    some = F.col("n") > 0
+    return x.groupBy(F.lit(kind).alias("kind"), "cap").agg(
+        F.count_if(some).alias("n_supported"),
+        F.count_if(F.col("n") >= 2).alias("n_by_two"),
+        F.avg(some.cast("double")).alias("share"),
+        F.avg("n").alias("mean"),
+        F.percentile("n", F.lit(0.5)).alias("median"),
+        F.percentile("n", F.lit(0.9)).alias("p90"),
+        (F.sum(F.when(some, F.col("weight")).otherwise(0.0)) / F.greatest(F.sum("weight"), F.lit(1e-12))).alias("weight_share"),
+    )
+
+
 def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame, longest: int, k: int) -> DataFrame:
     """The k shortest simple paths of at most ``longest`` edges from start to end nodes (ties by the path itself)."""
     e = stored(edges.select("src", "dst"))
@@ -195,10 +249,10 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     """node, core: each node's value falls to the h-index of its neighbours' values, until nothing changes."""
     both = stored(undirected(edges))
     value = stored(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("core")))
-    w = Window.partitionBy("src").orderBy(F.desc("core"), "dst")
+    w = Window.partitionBy("src").orderBy(F.desc("core"))  # one row for each value among the neighbours
     while True:
-        ranked = both.join(value, F.col("dst") == F.col("node")).withColumn("r", F.row_number().over(w))
-        h = ranked.groupBy(F.col("src").alias("node")).agg(F.max(F.least("r", "core")).cast("long").alias("h"))
+        held = both.join(value, F.col("dst") == F.col("node")).groupBy("src", "core").agg(F.count("*").alias("n")).withColumn("r", F.sum("n").over(w))
+        h = held.groupBy(F.col("src").alias("node")).agg(F.max(F.least("r", "core")).cast("long").alias("h"))
         new = stored(value.join(h, "node").select("node", F.col("core").alias("old"), F.least("core", "h").alias("core")))
         value = new.select("node", "core")
         if new.where("old <> core").isEmpty():
@@ -349,6 +403,45 @@ def normalised_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(d, "src").join(d.withColumnsRenamed({"src": "dst", "d": "e"}), "dst").select("src", "dst", (1 / F.sqrt(F.col("d") * F.col("e"))).alias("w"))
 
 
+def closeness(nodes: DataFrame, edges: DataFrame, sample: DataFrame) -> DataFrame:
+    """node, closeness, in_centrality, out_centrality of the sampled nodes. Closeness: by the distances of those that reach
+    the node, scaled by their share of all nodes."""
+    n = nodes.count()
+    d = distances(flipped(edges.select("src", "dst")), sample.select(F.col("node").alias("anchor"), "node"), keys=["anchor"])
+    x = d.groupBy(F.col("anchor").alias("node")).agg((F.count("*") - 1).alias("r"), F.sum("dist").alias("total"))
+    x = x.select("node", F.when((F.col("total") > 0) & F.lit(n > 1), F.col("r") / F.col("total") * F.col("r") / max(n - 1, 1)).otherwise(0.0).alias("closeness"))
+    share = [(F.col(f"{s}_degree") / max(n - 1, 1)).alias(f"{s}_centrality") for s in ("in", "out")]
+    return x.join(degrees(nodes, edges).select("node", *share), "node")
+
+
+def criticality(nodes: DataFrame, edges: DataFrame, sample: DataFrame) -> DataFrame:
+    """node and score of the sampled nodes: .4 betweenness + .3 closeness + .15 in- and .15 out-degree centrality.
+
+    Betweenness is that of shortest paths from the sampled nodes, scaled to all sources and to (n - 1)(n - 2) pairs.
+    """
+    n, k = nodes.count(), max(sample.select("node").distinct().count(), 1)
+    scale = n / k / max((n - 1) * (n - 2), 1)
+    between = betweenness(edges, sample).select("node", (F.col("score") * scale).alias("between"))
+    x = closeness(nodes, edges, sample).join(between, "node", "left").fillna(0.0, subset=["between"])
+    score = 0.4 * F.col("between") + 0.3 * F.col("closeness") + 0.15 * F.col("in_centrality") + 0.15 * F.col("out_centrality")
+    return x.select("node", F.col("between").alias("betweenness"), "closeness", "in_centrality", "out_centrality", score.alias("criticality"))
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, directed density, components and the largest one's share (weak, strong), core numbers (nodes
+    without edges: 0), degree means, quantiles and maxima."""
+    nodes, edges = stored(nodes.select("node")), stored(edges.select("src", "dst"))
+    n, m = nodes.count(), edges.count()
+    sized = lambda label, name: label.groupBy("component").agg(F.count("*").alias("c")).agg(F.count("*").alias(f"n_{name}"), (F.max("c") / max(n, 1)).alias(f"{name}_share"))
+    core = nodes.join(core_numbers(edges), "node", "left").fillna(0, subset=["core"])
+    spread = lambda c: [F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.percentile(c, F.lit(0.9)).alias(f"{c}_p90"), F.max(c).alias(f"{c}_max")]
+    parts = [sized(weak_components(nodes, edges), "weak"), sized(strong_components(nodes, edges), "strong"), core.agg(*spread("core")), degrees(nodes, edges).agg(*spread("in_degree"), *spread("out_degree"))]
+    out = nodes.sparkSession.range(1).select(F.lit(n).cast("long").alias("nodes"), F.lit(m).cast("long").alias("edges"), F.lit(m / max(n * (n - 1), 1)).alias("density"))
+    for p in parts:
+        out = out.join(F.broadcast(p))  # one row each
+    return out
+
+
 # --- corridors ----------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph as G
+from .order import numbered, running
 
 
 def top_k(scores: DataFrame, k: int, by: str = "src", score: str = "score", tie: str = "dst", known: DataFrame | None = None) -> DataFrame:
@@ -55,8 +56,7 @@ def list_metrics(scores: DataFrame, ks: Sequence[int] = (10, 50), depth: int = 1
 def precision_thresholds(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """For each distinct score the rows and positives at or over it. Scores are aggregated before the running sums."""
     n = scores.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores of a bounded scale
-    return n.withColumn("rows", F.sum("n").over(w)).withColumn("tp", F.sum("pos").over(w)).withColumn("precision", F.col("tp") / F.col("rows"))
+    return running(n, [F.desc(score)], {"rows": "n", "tp": "pos"}).withColumn("precision", F.col("tp") / F.col("rows"))
 
 
 def threshold_for(curve: DataFrame, target: float, score: str = "score") -> DataFrame:
@@ -72,16 +72,12 @@ def pr_curve(curve: DataFrame, buckets: int = 20, score: str = "score") -> DataF
 
 
 def deciles(df: DataFrame, score: str, tie: Sequence[str], n: int = 10) -> DataFrame:
-    """tile 1..n by falling score over all rows, as NTILE, without one task holding all: rows are dealt by score ranges first."""
-    parts = df.repartitionByRange(F.desc(score), *tie).withColumn("__p", F.spark_partition_id())
-    sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"), F.max(F.struct(score, *tie)).alias("__m"))
-    base = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(Window.partitionBy())).select("__p", "__b", "__n")
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(F.desc(score), *tie))
-    x = parts.withColumn("__r", own).join(F.broadcast(base), "__p").withColumn("__r", F.col("__r") + F.col("__b") - 1)
+    """tile 1..n by falling score over all rows, as NTILE, without one task holding all."""
+    x = numbered(df, [F.desc(score), *tie], "__r", "__n")
     small, extra = F.floor(F.col("__n") / n), F.col("__n") % n
     cut = extra * (small + 1)
     tile = F.when(F.col("__r") < cut, F.floor(F.col("__r") / (small + 1))).otherwise(extra + F.floor((F.col("__r") - cut) / F.greatest(small, F.lit(1))))
-    return x.withColumn("tile", tile + 1).drop("__p", "__r", "__b", "__n")
+    return x.withColumn("tile", tile + 1).drop("__r", "__n")
 
 
 def platt_fit(scores: DataFrame, score: str = "score", label: str = "label", rounds: int = 25, ridge: float = 1e-6) -> tuple[float, float]:
@@ -107,11 +103,38 @@ def platt_fit(scores: DataFrame, score: str = "score", label: str = "label", rou
 def auc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Rank-sum AUC from the counts of each distinct score; ties count half."""
     n = scores.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = n.withColumn("won", F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2))
+    x = running(n.withColumn("neg", F.col("n") - F.col("pos")), [score], {"upto": "neg"})
+    x = x.withColumn("won", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
     return x.agg((F.sum("won") / (F.sum("pos") * F.sum(F.col("n") - F.col("pos")))).alias("auc"))
 
 
+def pooled_metrics(lists: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """k and, over the lists of ``list_metrics``, macro means of precision, recall and hit, and micro precision and recall from pooled counts."""
+    each = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), *[F.col(f"{c}{k}").alias(c) for c in ("tp", "p", "r", "hit")]) for k in ks])
+    x = lists.select("total", F.explode(each).alias("x")).select("total", "x.*").groupBy("k")
+    return x.agg(F.avg("p").alias("macro_precision"), F.avg("r").alias("macro_recall"), F.avg("hit").alias("hit"), (F.sum("tp") / (F.first("k") * F.count("*"))).alias("micro_precision"), (F.sum("tp") / F.greatest(F.sum("total"), F.lit(1))).alias("micro_recall"))
+
+
+def probability_losses(df: DataFrame, p: str, label: str = "label", least: float = 1e-15) -> DataFrame:
+    """n, log_loss, brier, positive_rate (the mean probability). Probabilities are held ``least`` away from 0 and 1 in the logarithm."""
+    q, y = F.least(F.greatest(p, F.lit(least)), F.lit(1 - least)), F.col(label).cast("double")
+    return df.agg(F.count("*").alias("n"), F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"), F.avg((F.col(p) - y) * (F.col(p) - y)).alias("brier"), F.avg(p).alias("positive_rate"))
+
+
+def stacked(df: DataFrame, features: Sequence[str], label: str = "label", c: float = 1.0, rounds: int = 100) -> tuple[list[float], float, DataFrame]:
+    """Coefficients, intercept, and df with ``probability``: logistic regression with ridge penalty |w|^2 / (2 c) against the summed loss."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list(features), outputCol="__x").transform(df.withColumn("__y", F.col(label).cast("double")))
+    fit = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=1 / (c * max(df.count(), 1)), standardization=False, maxIter=rounds, tol=1e-10).fit(rows.select("__x", "__y"))
+    w, b = [float(v) for v in fit.coefficients], float(fit.intercept)
+    z = F.lit(b)
+    for name, v in zip(features, w, strict=True):
+        z = z + F.col(name) * v
+    return w, b, df.withColumn("probability", 1 / (1 + F.exp(-z)))
+
+
 def sliced_metrics(scores: DataFrame, pairs: dict[str, Column], positives: dict[str, Column], sources: dict[str, Column], k: int = 10, score: str = "score", label: str = "label") -> DataFrame:
     """slice, n, mrr, map, recall: macro means over slices of the lists.
 
@@ -175,6 +198,13 @@ def pair_class(pairs: DataFrame, edges: DataFrame, warm: int = 3) -> DataFrame:
     return x.withColumn("pair_class", F.when(a & b, "warm").when(~a & ~b, "cold").otherwise("mixed")).drop("ds", "dd")
 
 
+def source_quartiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, quartile 1..4 of its out-degree among all nodes; a degree on a cut belongs to the lower quartile."""
+    d = G.degrees(nodes, edges).select("node", "out_degree")
+    cuts = F.broadcast(d.agg(F.percentile("out_degree", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts")))  # one row
+    return d.join(cuts).select("node", (F.size(F.filter("cuts", lambda c: c < F.col("out_degree"))) + 1).cast("long").alias("quartile"))
+
+
 def candidate_pool(positives: DataFrame, two_hop: DataFrame, nodes: DataFrame, exclude: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     """src, dst, source: positives, then exact two-hop pairs, then hash-ordered random nodes, ``budget`` a source; each pair once.
 

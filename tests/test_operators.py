@@ -299,6 +299,12 @@ def test_curves_paths_and_pruning(spark):
     assert sorted(r.node for r in decisions.pruned(ranked, one(5, 4), 1, [F.desc("v")]).collect()) == [4, 5]
 
 
+def test_top_lists_flag_known_pairs(spark):
+    scores = spark.createDataFrame([(1, 2, 5.0), (1, 3, 5.0), (1, 4, 7.0), (2, 1, 1.0)], "src long, dst long, score double")
+    got = sorted((r.src, r.dst, r["rank"], r.is_known) for r in ranking.top_k(scores, 2, known=frame(spark, [(1, 2), (1, 2), (9, 9)])).collect())
+    assert got == [(1, 2, 2, True), (1, 4, 1, False), (2, 1, 1, False)]
+
+
 def test_stacked_regression(spark):
     import numpy as np
 

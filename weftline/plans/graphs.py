@@ -97,9 +97,10 @@ def relevant_subgraph(t: Tables) -> DataFrame:
     return up.join(down, "node", "left_semi").union(direct).union(t.anchors.select("node")).union(t.seeds.select("node")).distinct()
 
 
-@query("G16")
+@query("G16", """WITH b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r(node, d) AS (SELECT node, 1 FROM seeds UNION SELECT dst, d + 1 FROM r JOIN b ON src = r.node WHERE d < 40), x AS (SELECT node, min(d) AS tier FROM r GROUP BY node),
+n AS (SELECT tier, count(*) AS n FROM x GROUP BY tier) SELECT node, tier::BIGINT AS tier FROM x WHERE tier <= (SELECT coalesce(min(tier) FILTER (n < 10 AND tier > 1), max(tier)) FROM n)""")
 def expanded_tiers(t: Tables) -> DataFrame:
-    return G.expand_until(t.pairs, t.seeds, 10)
+    return G.expand_until(t.pairs, t.seeds, 10).select("node", F.col("tier").cast("long").alias("tier"))
 
 
 @query("G17 G22", f"WITH {UP}, x AS (SELECT node, min(d) + 1 AS tier FROM bfs GROUP BY node) SELECT a.tier::BIGINT AS from_tier, b.tier::BIGINT AS to_tier, count(*) AS n, round(log10(1 + count(*)), 6) AS logged FROM edges JOIN x a ON src = a.node JOIN x b ON dst = b.node GROUP BY 1, 2")
@@ -115,9 +116,11 @@ def tier_ecdf(t: Tables) -> DataFrame:
     return n.withColumn("ecdf", F.round(F.sum("n").over(Window.orderBy("tier")) / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("G18")
+@query("G18", """WITH p(path, here) AS (SELECT [node], node FROM seeds UNION ALL SELECT list_append(path, dst), dst FROM p JOIN edges ON src = p.here WHERE len(path) <= 4 AND NOT list_contains(path, dst)), f AS (SELECT path, len(path) - 1 AS hops FROM p WHERE here IN (SELECT node FROM anchors) ORDER BY hops, path LIMIT 25)
+SELECT array_to_string(path, '>') AS path, hops::BIGINT AS hops FROM f""")
 def shortest_simple_paths(t: Tables) -> DataFrame:
-    return G.simple_paths(t.pairs, t.seeds, t.anchors, 4, 25).select(F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("path"), F.col("hops").cast("long").alias("hops"))
+    x = G.simple_paths(t.pairs, t.seeds, t.anchors, 4, 25)
+    return x.select(F.concat_ws(">", F.transform("path", lambda n: n.cast("string"))).alias("path"), F.col("hops").cast("long").alias("hops"))
 
 
 @query("G20", f"WITH a AS (WITH RECURSIVE {BFS.format(start='seeds', to='src', frm='dst', cap=3)} SELECT count(DISTINCT node) AS n FROM bfs), b AS (WITH RECURSIVE {BFS.format(start='seeds', to='dst', frm='src', cap=3)} SELECT count(DISTINCT node) AS n FROM bfs) SELECT a.n AS upstream, b.n AS downstream FROM a, b")

@@ -29,7 +29,7 @@ def query(ids: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import analysis, decisions, graphs, ranking, relational  # noqa: F401
+    from . import analysis, decisions, graphs, ranking, relational, summaries  # noqa: F401
 
 
 load()

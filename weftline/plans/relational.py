@@ -38,7 +38,7 @@ def episode_dedup(t: Tables) -> DataFrame:
     return E.first_of_each(x, ["src", "dst", "start_date", "end_date"], ["rel_id"]).select("rel_id", "src", "dst", "start_date", "end_date", "cents")
 
 
-@query("P5")
+@query("P5", "SELECT rel_id, substr(sha1(supplier_id::VARCHAR || '|' || customer_id || '|' || strftime(start_date, '%Y-%m-%dT%H:%M:%S') || '|' || coalesce(strftime(end_date, '%Y-%m-%dT%H:%M:%S'), '')), 1, 16) AS event_id FROM rel")
 def event_hash_ids(t: Tables) -> DataFrame:
     return t.rel.select("rel_id", X.short_hash("supplier_id", "customer_id", F.date_format("start_date", "yyyy-MM-dd'T'HH:mm:ss"), F.coalesce(F.date_format("end_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))).alias("event_id"))
 

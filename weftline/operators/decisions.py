@@ -19,20 +19,32 @@ SCENARIOS = 500  # scenarios that are evaluated together
 
 
 def _scenarios(removed: DataFrame) -> DataFrame:
-    """The scenarios' names, for a broadcast: each multiplies the edge table once, so there may not be many."""
+    """The scenarios' names, for a broadcast: tables of sources or targets are dealt to each, so there may not be many."""
     s = removed.select("scenario").distinct()
     if s.limit(2 * SCENARIOS + 2).count() > 2 * SCENARIOS:
         raise ValueError(f"over {2 * SCENARIOS} scenarios at once; impact() evaluates them in groups")
     return F.broadcast(s)
 
 
-def without(edges: DataFrame, removed: DataFrame) -> DataFrame:
-    """scenario, src, dst of every scenario's surviving edges. Few scenarios; each multiplies the edge table once."""
-    s = _scenarios(removed)
-    r = removed.select("scenario", "node").distinct()
-    x = edges.select("src", "dst").join(s)  # one copy of the edges for each scenario
-    x = x.join(r.withColumnRenamed("node", "src"), ["scenario", "src"], "left_anti")
-    return x.join(r.withColumnRenamed("node", "dst"), ["scenario", "dst"], "left_anti").select("scenario", "src", "dst")
+def scenario_reach(edges: DataFrame, removed: DataFrame, sources: DataFrame, cap: int) -> DataFrame:
+    """scenario, node, dist within ``cap`` hops of the sources that a scenario leaves with a link, and the same for 'baseline'.
+
+    The edges stay one table: fronts carry the scenario, and what a scenario removes is taken from them. edges should be stored.
+    """
+    gone = removed.select("scenario", "node").where(F.col("node").isNotNull()).distinct()
+    names = _scenarios(removed.select("scenario").union(sources.sparkSession.range(1).select(F.lit("baseline"))))
+    left = lambda x: x.join(gone, ["scenario", "node"], "left_anti")
+    links = G.undirected(edges).join(sources.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(names)
+    links = left(links.select("scenario", "src", F.col("dst").alias("node"))).select("scenario", F.col("src").alias("node")).distinct()
+    front = stored(left(links).withColumn("dist", F.lit(0)))
+    seen = front
+    for d in range(1, cap + 1):
+        nxt = left(front.join(edges, F.col("node") == F.col("src")).select("scenario", F.col("dst").alias("node")).distinct())
+        front = stored(nxt.join(seen.select("scenario", "node"), ["scenario", "node"], "left_anti").withColumn("dist", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
 
 
 def without_pairs(edges: DataFrame, removed: DataFrame) -> DataFrame:
@@ -66,10 +78,10 @@ def impact(edges: DataFrame, removed: DataFrame, sources: DataFrame, targets: Da
         groups = -(-n // (SCENARIOS // 2))  # by hash, so of uneven size
         of = F.pmod(F.xxhash64("scenario"), F.lit(groups))
         return reduce(DataFrame.unionByName, [stored(impact(edges, removed.where(of == g), sources, targets, cap)) for g in range(groups)])
-    none = sources.select(F.lit("baseline").alias("scenario"), F.lit(None).cast("long").alias("node")).limit(1)
-    all_ = stored(without(edges, removed.unionByName(none)))
-    dist = scenario_distances(all_, sources, cap)
-    entry = all_.join(dist.select("scenario", F.col("node").alias("src")), ["scenario", "src"], "left_semi").groupBy("scenario", F.col("dst").alias("node")).agg(F.count("*").alias("entries"))
+    edges = stored(edges.select("src", "dst"))
+    dist = scenario_reach(edges, removed, sources, cap)
+    into = edges.join(targets.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+    entry = dist.select("scenario", F.col("node").alias("src")).join(into, "src").groupBy("scenario", F.col("dst").alias("node")).agg(F.count("*").alias("entries"))
     x = stored(dist.join(targets, "node").join(entry, ["scenario", "node"], "left").fillna(0, subset=["entries"]))
     base = x.where("scenario = 'baseline'").select("node", "weight", F.col("dist").alias("d0"), F.col("entries").alias("e0"))
     grid = base.join(_scenarios(removed))
@@ -86,9 +98,8 @@ def impact(edges: DataFrame, removed: DataFrame, sources: DataFrame, targets: Da
 
 def target_profiles(edges: DataFrame, removed: DataFrame, sources: DataFrame, targets: DataFrame, cap: int = 6) -> DataFrame:
     """For each target: in how many scenarios it is reached, cut off, or reached by a longer way."""
-    none = sources.select(F.lit("baseline").alias("scenario"), F.lit(None).cast("long").alias("node")).limit(1)
-    all_ = stored(without(edges, removed.select("scenario", "node").unionByName(none)))
-    x = stored(scenario_distances(all_, sources, cap).join(targets.select("node"), "node", "left_semi"))
+    found = scenario_reach(stored(edges.select("src", "dst")), removed, sources, cap)
+    x = stored(found.join(targets.select("node"), "node", "left_semi"))
     base = x.where("scenario = 'baseline'").select("node", F.col("dist").alias("d0"))
     n = removed.select("scenario").distinct().count()
     y = base.join(x.where("scenario <> 'baseline'"), "node", "left").groupBy("node").agg(F.count("scenario").alias("reached"), F.count_if(F.col("dist") > F.col("d0")).alias("longer"))
@@ -97,7 +108,8 @@ def target_profiles(edges: DataFrame, removed: DataFrame, sources: DataFrame, ta
 
 def robustness_scenarios(ranked: DataFrame, nodes: DataFrame, sizes: Sequence[int], repeats: int, seed: int = 0) -> DataFrame:
     """scenario, node: the top ``size`` by value (ties: larger node first), and as many by hash for each repeat."""
-    top = ranked.withColumn("r", F.row_number().over(Window.orderBy(F.desc("value"), F.desc("node")))).where(F.col("r") <= max(sizes))
+    top = ranked.orderBy(F.desc("value"), F.desc("node")).limit(max(sizes))
+    top = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("value"), F.desc("node"))))  # the largest size's rows
     out = [top.where(F.col("r") <= k).select(F.lit(f"targeted:{k}").alias("scenario"), "node") for k in sizes]
     for i in range(repeats):
         pick = nodes.select("node").orderBy(F.xxhash64("node", F.lit(seed + i)), "node").limit(max(sizes))

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import decisions as D
+from .order import competition
 
 
 def rank_falling(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Competition ranks (least of ties) by falling value, from the counts of the distinct values."""
-    n = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(n.withColumn(out, before + 1).drop("__n"), column)
+    """Competition ranks (least of ties) by falling value."""
+    return competition(df, F.desc(column), column, out)
 
 
 def signal_pool(nodes: DataFrame, signals: Sequence[str], top_each: int, size: int, key: str = "node") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import events as E
 from ..operators import tables as O
+from ..operators.order import competition
 from .fixtures import Tables
 from .registry import query
 
@@ -349,11 +350,8 @@ def first_non_null(t: Tables) -> DataFrame:
 
 @query("W9 W10", "SELECT c_custkey, rank() OVER (ORDER BY CAST(floor(c_acctbal / 100) AS BIGINT) DESC) AS competition FROM customer")
 def competition_rank(t: Tables) -> DataFrame:
-    # ranks of the distinct values (few), joined back: no single task sees all rows
     x = t.customer.select("c_custkey", F.floor(F.col("c_acctbal") / 100).alias("v"))
-    n = x.groupBy("v").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return x.join(n.withColumn("competition", before + 1), "v").select("c_custkey", "competition")
+    return competition(x, F.desc("v"), "v", "competition").select("c_custkey", "competition")
 
 
 @query("W15 H11 H12", f"WITH {CLEAN}, w AS (SELECT src, dst, CAST(floor(date_diff('day', (SELECT min(start_date) FROM clean), start_date) / 91.0) AS BIGINT) AS window_no FROM clean), ok AS (SELECT window_no FROM w GROUP BY 1 HAVING count(*) >= 10) SELECT src, dst, min(window_no) AS first_window FROM w JOIN ok USING (window_no) GROUP BY 1, 2")

@@ -239,7 +239,9 @@ def test_tiles_of_a_sampled_table_are_even(spark):
     assert [r.n for r in tiles] == [60_000] * 10 and all(a.low >= b.high for a, b in zip(tiles, tiles[1:]))
 
 
-def test_positions_and_running_sums(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_positions_and_running_sums(spark, monkeypatch, one_task):
+    monkeypatch.setattr(order, "ONE_TASK", one_task)
     rng = random.Random(6)
     values = [(i, rng.choice([None, *range(40)]), rng.randrange(9)) for i in range(500)]
     df = spark.createDataFrame(values, "id long, v long, w long").repartition(7)

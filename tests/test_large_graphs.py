@@ -66,3 +66,9 @@ def test_hop_sums_equal_a_search_from_each_source(spark):
         assert got == want
     assert sweeps.hop_sums(frame(spark, e), nodes(spark, []), None).count() == 0
     assert [(r.reached, r.total) for r in sweeps.hop_sums(frame(spark, []), nodes(spark, [1]), None).collect()] == [(0, 0)]
+
+
+def test_betweenness_has_every_reached_node(spark):
+    e = [(i, i + 1) for i in range(60)] + [(100, 30), (30, 200), (200, 31)]
+    got = {r.node: r.score for r in graph.betweenness(frame(spark, e), nodes(spark, [0, 100])).collect()}
+    assert got.keys() == {*range(1, 61), 200} and got[60] == 0 and got[59] == 2 and got[30] == 31 + 31

@@ -114,42 +114,82 @@ def dominators(edges: DataFrame, sources: DataFrame, component: DataFrame) -> Da
     return own.union(start).groupBy("component").applyInPandas(kernel, "node long, dominator long")
 
 
-def _flow(edges: list[tuple[int, int]], sources: set[int], target: int, most: int = 1 << 30) -> int:
-    """Edge-disjoint paths from the sources to the target: unit augmenting paths, breadth first."""
-    room: dict[int, dict[int, int]] = {}
-    for a, b in edges:
-        room.setdefault(a, {})[b] = room.get(a, {}).get(b, 0) + 1
-        room.setdefault(b, {}).setdefault(a, 0)
-    flow = 0
-    while target in room and target not in sources and flow < most:
-        before, queue = {s: None for s in sources if s in room}, deque(s for s in sorted(sources) if s in room)
-        while queue and target not in before:
-            u = queue.popleft()
-            for v, c in room[u].items():
-                if c and v not in before:
-                    before[v] = u
+class _Backward:
+    """Incoming edges of each node, and searches from a target back to the nearest source with room.
+
+    A search ends at the first source, so it stays near the target while sources are not far. Edges from nodes that no source
+    reaches are left out: they carry no flow.
+    """
+
+    def __init__(self, edges: list[tuple[int, int]], sources: set[int]) -> None:
+        out: dict[int, list[int]] = {}
+        for i, (a, _) in enumerate(edges):
+            out.setdefault(a, []).append(i)
+        self.edges, self.sources, self.into = edges, sources, {}
+        seen, queue = set(sources), deque(sources)
+        while queue:
+            for i in out.get(queue.popleft(), ()):
+                v = edges[i][1]
+                self.into.setdefault(v, []).append(i)
+                if v not in seen:
+                    seen.add(v)
                     queue.append(v)
-        if target not in before:
-            break
-        v = target
-        while before[v] is not None:
-            u = before[v]
-            room[u][v] -= 1
-            room[v][u] += 1
-            v = u
-        flow += 1
-    return flow
+
+    def _path(self, target: int, used: set[int], leaving: dict[int, set[int]]) -> list[tuple[int, bool]] | None:
+        """Edges of an augmenting path, from its source on, and whether each is taken (or given back)."""
+        after: dict[int, tuple[int, int, bool] | None] = {target: None}
+        queue = deque([target])
+        while queue:
+            v = queue.popleft()
+            if v in self.sources:
+                path = []
+                while (step := after[v]) is not None:
+                    path.append(step[1:])
+                    v = step[0]
+                return path
+            for i in self.into.get(v, ()):  # an unused edge into v
+                u = self.edges[i][0]
+                if i not in used and u not in after:
+                    after[u] = (v, i, True)
+                    queue.append(u)
+            for i in leaving.get(v, ()):  # a used edge out of v, given back
+                u = self.edges[i][1]
+                if u not in after:
+                    after[u] = (v, i, False)
+                    queue.append(u)
+        return None
+
+    def flow(self, target: int, most: int = 1 << 30) -> int:
+        """Edge-disjoint paths from the sources to the target: unit augmenting paths, breadth first."""
+        if target in self.sources:
+            return 0
+        used: set[int] = set()
+        leaving: dict[int, set[int]] = {}
+        flow = 0
+        most = min(most, len(self.into.get(target, ())))
+        while flow < most and (path := self._path(target, used, leaving)) is not None:
+            for i, taken in path:
+                if taken:
+                    used.add(i)
+                    leaving.setdefault(self.edges[i][0], set()).add(i)
+                else:
+                    used.discard(i)
+                    leaving[self.edges[i][0]].discard(i)
+            flow += 1
+        return flow
 
 
 def min_cuts(edges: DataFrame, sources: DataFrame, targets: DataFrame, component: DataFrame) -> DataFrame:
     """node, cut: edges to remove so that no source reaches the target (unit capacities), for each target."""
-    own = edges.join(component, F.col("src") == F.col("node")).select("component", "src", "dst", F.lit("edge").alias("kind"))
-    marks = [x.join(component, "node").select("component", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(k).alias("kind")) for x, k in ((sources, "source"), (targets, "target"))]
+    own = edges.join(component, F.col("src") == F.col("node")).select("component", "src", "dst", F.lit(0).alias("kind"))
+    marks = [x.join(component, "node").select("component", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(k).alias("kind")) for x, k in ((sources, 1), (targets, 2))]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[pdf["kind"] == "edge"]
-        pairs = list(zip(e["src"], e["dst"], strict=True))
-        s = set(pdf[pdf["kind"] == "source"]["src"])
-        return pd.DataFrame([(t, _flow(pairs, s, t)) for t in sorted(set(pdf[pdf["kind"] == "target"]["src"]))], columns=["node", "cut"])
+        goals = sorted(set(pdf["src"][pdf["kind"] == 2].tolist()))
+        if not goals:
+            return pd.DataFrame({"node": [], "cut": []}, dtype="int64")
+        e = pdf[pdf["kind"] == 0]
+        back = _Backward(list(zip(e["src"].tolist(), e["dst"].tolist(), strict=True)), set(pdf["src"][pdf["kind"] == 1].tolist()))
+        return pd.DataFrame([(t, back.flow(t)) for t in goals], columns=["node", "cut"])
 
     return own.union(marks[0]).union(marks[1]).groupBy("component").applyInPandas(kernel, "node long, cut long")

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from weftline.operators import graph, sweeps
+from weftline.operators import cuts, graph, sweeps
 from weftline.plans import registry
 
 
@@ -72,3 +72,20 @@ def test_betweenness_has_every_reached_node(spark):
     e = [(i, i + 1) for i in range(60)] + [(100, 30), (30, 200), (200, 31)]
     got = {r.node: r.score for r in graph.betweenness(frame(spark, e), nodes(spark, [0, 100])).collect()}
     assert got.keys() == {*range(1, 61), 200} and got[60] == 0 and got[59] == 2 and got[30] == 31 + 31
+
+
+def test_cuts_of_many_targets_search_near_them():
+    n, looked = 3000, Counter()
+    e = [(i, i + 1) for i in range(n)] + [(i, i + 2) for i in range(n)]
+    back = cuts._Backward(e, set(range(0, n, 10)))
+    into = back.into
+
+    class Counted(dict):
+        def get(self, key, other=None):
+            looked["n"] += 1
+            return into.get(key, other)
+
+    back.into = Counted()
+    targets = [t for t in range(2, n) if t % 10]
+    assert {back.flow(t) for t in targets} == {2}
+    assert looked["n"] < 40 * len(targets)

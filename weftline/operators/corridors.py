@@ -9,12 +9,18 @@ from ..sources.storage import stored
 from . import graph as G
 
 
-def corridor_scores(nodes: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """node, source_reach, target_reach, score (their product), is_corridor, is_intermediary, from_source, to_target (hops, -1: none)."""
+def corridor_scores(nodes: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataFrame, cap: int | None = None) -> DataFrame:
+    """node, source_reach, target_reach, score (their product), is_corridor, is_intermediary, from_source, to_target (hops, -1: none).
+
+    Reach has no limit; with a cap, hops beyond it count as none.
+    """
     e = stored(edges.select("src", "dst"))
     down, up = stored(G.reach_pairs(e, sources)), stored(G.reach_pairs(G.flipped(e), targets))
     a = down.groupBy("node").agg(F.count("*").alias("source_reach"), F.min("dist").alias("from_source"))
     b = up.groupBy("node").agg(F.count("*").alias("target_reach"), F.min("dist").alias("to_target"))
+    if cap is not None:
+        a = a.withColumn("from_source", F.when(F.col("from_source") <= cap, F.col("from_source")))
+        b = b.withColumn("to_target", F.when(F.col("to_target") <= cap, F.col("to_target")))
     ends = sources.select("node").union(targets.select("node")).distinct().withColumn("__end", F.lit(True))
     x = nodes.select("node").join(a, "node", "left").join(b, "node", "left").join(ends, "node", "left")
     x = x.fillna(0, subset=["source_reach", "target_reach"]).fillna(-1, subset=["from_source", "to_target"])
@@ -38,7 +44,8 @@ def bottlenecks(edges: DataFrame, corridor: DataFrame, strong: DataFrame) -> Dat
     lanes_out = G.lanes(G.flipped(edges), ahead, F.lit(1)).select("node", F.col("lanes_in").alias("lanes_out"))
     x = corridor.join(strong, "node").join(sizes, "component").join(gates, "component", "left").join(lanes_in, "node", "left").join(lanes_out, "node", "left")
     x = x.fillna(0, subset=["gate", "lanes_in", "lanes_out"])
-    value = F.col("score") / F.col("component_size") * (1 + F.log1p(F.col("gate").cast("double"))) / F.greatest(F.col("lanes_in") * F.col("lanes_out"), F.lit(1)) / (1 + F.col("from_source") + F.col("to_target"))
+    value = F.col("score") / F.col("component_size") * (1 + F.log1p(F.col("gate").cast("double"))) / F.greatest(F.col("lanes_in") * F.col("lanes_out"), F.lit(1))
+    value = value / (1 + F.col("from_source") + F.col("to_target"))
     return x.select("node", "component_size", "gate", "lanes_in", "lanes_out", F.when(F.col("is_corridor"), value).otherwise(0.0).alias("bottleneck"))
 
 

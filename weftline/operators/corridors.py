@@ -33,7 +33,7 @@ def bottlenecks(edges: DataFrame, corridor: DataFrame, strong: DataFrame) -> Dat
     """node, component_size, gate, lanes_in, lanes_out, bottleneck of every node.
 
     bottleneck = score / component size * (1 + ln(1 + gate)) / max(lanes_in * lanes_out, 1) / (1 + hops from source and to
-    target), 0 off the corridor. gate: the component's edges in times out; lanes: edges on shortest ways from a source
+    target), 0 off the corridor; hops of -1 enter as they are, and a divisor of 0 gives infinity. gate: the component's edges in times out; lanes: edges on shortest ways from a source
     into the node, and from the node on to a target.
     """
     sizes = strong.groupBy("component").agg(F.count("*").alias("component_size"))
@@ -45,7 +45,8 @@ def bottlenecks(edges: DataFrame, corridor: DataFrame, strong: DataFrame) -> Dat
     x = corridor.join(strong, "node").join(sizes, "component").join(gates, "component", "left").join(lanes_in, "node", "left").join(lanes_out, "node", "left")
     x = x.fillna(0, subset=["gate", "lanes_in", "lanes_out"])
     value = F.col("score") / F.col("component_size") * (1 + F.log1p(F.col("gate").cast("double"))) / F.greatest(F.col("lanes_in") * F.col("lanes_out"), F.lit(1))
-    value = value / (1 + F.col("from_source") + F.col("to_target"))
+    hops = 1 + F.col("from_source") + F.col("to_target")
+    value = F.when(hops == 0, F.lit(float("inf"))).otherwise(value / F.nullif(hops, F.lit(0)))
     return x.select("node", "component_size", "gate", "lanes_in", "lanes_out", F.when(F.col("is_corridor"), value).otherwise(0.0).alias("bottleneck"))
 
 

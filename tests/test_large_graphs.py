@@ -91,6 +91,54 @@ def test_cuts_of_many_targets_search_near_them():
     assert looked["n"] < 40 * len(targets)
 
 
+def test_cuts_of_a_target_with_many_arcs_take_few_searches():
+    wide, long = 60, 40
+    e = [(k * long + i, k * long + i + 1) for k in range(wide) for i in range(long - 1)] + [(k * long + long - 1, 9999) for k in range(wide)]
+    back, looked = cuts._Backward(e, {k * long for k in range(wide)}), Counter()
+    into = back.into
+
+    class Counted:
+        def get(self, key, other=None):
+            looked["n"] += 1
+            return into.get(key, other)
+
+    back.into = Counted()
+    assert back.flow(9999) == wide
+    assert looked["n"] < 2 * wide * long  # one search: a search for each path looks at about wide * wide * long / 2
+
+
+def test_min_cuts_need_no_components(spark):
+    rng = random.Random(21)
+    e = [(a, b) for a, b in ((rng.randrange(150), rng.randrange(150)) for _ in range(700)) if a != b]  # some arcs twice
+    e += [(200 + a, 200 + b) for a, b in e[:300]] + [(400, 401)]
+    sources, targets = [*range(0, 12), 205, 206, 210], [*range(5, 150), *range(200, 340), 401, 900]
+
+    def flow(t):
+        room, n = Counter(e), 0
+        while t not in sources:
+            after, order = {t: None}, [t]
+            for v in order:
+                order += [u for u in near[v] if u not in after and room[u, v] and not after.update({u: v})]
+            ends = [s for s in sources if s in after]
+            if not ends:
+                break
+            u, n = ends[0], n + 1
+            while (v := after[u]) is not None:
+                room[u, v] -= 1
+                room[v, u] += 1
+                u = v
+        return n
+
+    near = {v: set() for v in [*targets, *sources]}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    got = {r.node: r.cut for r in cuts.min_cuts(frame(spark, e), nodes(spark, sources * 2), nodes(spark, targets * 2)).collect()}
+    assert got == {t: flow(t) for t in targets} and len(set(got.values())) > 5
+    assert cuts.min_cuts(frame(spark, e), nodes(spark, sources), nodes(spark, [])).count() == 0
+    assert [r.cut for r in cuts.min_cuts(frame(spark, []), nodes(spark, [1]), nodes(spark, [2])).collect()] == [0]
+
+
 def test_priority_pool_with_long_lists(spark):
     rng = random.Random(12)
     n = 12_000

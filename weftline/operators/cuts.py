@@ -1,17 +1,26 @@
-"""Sequential graph kernels, one task for each weak component: cut nodes, bridges, dominators, minimum cuts.
+"""Sequential graph kernels: cut nodes, bridges, dominators (one task for each weak component) and minimum cuts.
 
-They are linear (cuts) or near-linear in a component's edges and hold the component in memory; the number
-of components, not the size of the largest, is what scales out.
+The first three are linear (cuts) or near-linear in a component's edges and hold the component in memory; the number
+of components, not the size of the largest, is what scales out. Minimum cuts are dealt by targets: each task holds the graph.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
+TASK_TARGETS = 64  #: targets of minimum cuts that are worth a task
+
 
 def _seams(pdf: pd.DataFrame) -> pd.DataFrame:
     """Cut nodes and bridges with the parts that remain: low-link search without recursion."""
@@ -114,82 +123,130 @@ def dominators(edges: DataFrame, sources: DataFrame, component: DataFrame) -> Da
     return own.union(start).groupBy("component").applyInPandas(kernel, "node long, dominator long")
 
 
+class _Into:
+    """The arcs into each node, as ranges of arcs that are sorted by their heads."""
+
+    def __init__(self, head: np.ndarray, n: int) -> None:
+        self.first = memoryview(np.searchsorted(head, np.arange(n + 1)))
+
+    def get(self, v: int, other: Sequence[int] = ()) -> Sequence[int]:
+        return range(self.first[v], self.first[v + 1])
+
+
 class _Backward:
-    """Incoming edges of each node, and searches from a target back to the nearest source with room.
+    """Incoming arcs of each node, and searches from a target back to the nearest sources with room.
 
-    A search ends at the first source, so it stays near the target while sources are not far. Edges from nodes that no source
-    reaches are left out: they carry no flow.
+    A branch of a search (one for each free arc into the target) ends at its first source, so it stays near the target
+    while sources are not far, and one search serves all branches: their paths share no node, so each of them counts. Arcs
+    from nodes that no source reaches are left out: they carry no flow. The graph is held as arrays, nodes by their places.
     """
 
-    def __init__(self, edges: list[tuple[int, int]], sources: set[int]) -> None:
-        out: dict[int, list[int]] = {}
-        for i, (a, _) in enumerate(edges):
-            out.setdefault(a, []).append(i)
-        self.edges, self.sources, self.into = edges, sources, {}
-        seen, queue = set(sources), deque(sources)
+    def __init__(self, edges: Sequence[tuple[int, int]] | np.ndarray, sources: Iterable[int]) -> None:
+        e, own = np.asarray(edges, np.int64).reshape(-1, 2), np.array(sorted(sources), np.int64)
+        node = np.unique(np.concatenate((e[:, 0], e[:, 1], own)))
+        tail, head = np.searchsorted(node, e[:, 0]), np.searchsorted(node, e[:, 1])
+        self.node, self.source, n = memoryview(node), bytearray(len(node)), len(node)
+        queue = np.unique(np.searchsorted(node, own)).tolist()
+        for u in queue:
+            self.source[u] = 1
+        order = np.argsort(tail, kind="stable")
+        first, after = memoryview(np.searchsorted(tail[order], np.arange(n + 1))), memoryview(head[order])
+        seen = bytearray(self.source)
         while queue:
-            for i in out.get(queue.popleft(), ()):
-                v = edges[i][1]
-                self.into.setdefault(v, []).append(i)
-                if v not in seen:
-                    seen.add(v)
+            u = queue.pop()
+            for v in after[first[u] : first[u + 1]]:
+                if not seen[v]:
+                    seen[v] = 1
                     queue.append(v)
-
-    def _path(self, target: int, used: set[int], leaving: dict[int, set[int]]) -> list[tuple[int, bool]] | None:
-        """Edges of an augmenting path, from its source on, and whether each is taken (or given back)."""
-        after: dict[int, tuple[int, int, bool] | None] = {target: None}
-        queue = deque([target])
+        keep = np.frombuffer(seen, np.uint8)[tail] > 0
+        tail, head = tail[keep], head[keep]
+        order = np.argsort(head, kind="stable")
+        self.tail, self.head = memoryview(tail[order]), memoryview(head[order])
+        self.into = _Into(head[order], n)
+
+    def _paths(self, target: int, used: set[int], leaving: dict[int, set[int]]) -> list[list[tuple[int, bool]]]:
+        """Augmenting paths without a common node, none only if there is no path; of each path the arcs and whether each is taken (or given back)."""
+        after: dict[int, tuple[int, int, bool, int] | None] = {target: None}  # the next node, the arc there, whether taken, the branch
+        queue, ended, found = deque([target]), set(), []
         while queue:
             v = queue.popleft()
-            if v in self.sources:
-                path = []
-                while (step := after[v]) is not None:
-                    path.append(step[1:])
-                    v = step[0]
-                return path
-            for i in self.into.get(v, ()):  # an unused edge into v
-                u = self.edges[i][0]
-                if i not in used and u not in after:
-                    after[u] = (v, i, True)
-                    queue.append(u)
-            for i in leaving.get(v, ()):  # a used edge out of v, given back
-                u = self.edges[i][1]
-                if u not in after:
-                    after[u] = (v, i, False)
+            branch = -1 if v == target else after[v][3]
+            if branch in ended:
+                continue
+            for i in self.into.get(v, ()):  # an unused arc into v
+                if i in used:
+                    continue
+                u = self.tail[i]
+                if self.source[u]:
+                    path, at = [(i, True)], v
+                    while (step := after[at]) is not None:
+                        path.append(step[1:3])
+                        at = step[0]
+                    found.append(path)
+                    if v != target:
+                        ended.add(branch)
+                        break
+                elif u not in after:
+                    after[u] = (v, i, True, i if v == target else branch)
                     queue.append(u)
-        return None
+            else:
+                for i in leaving.get(v, ()):  # a used arc out of v, given back
+                    u = self.head[i]
+                    if u not in after:
+                        after[u] = (v, i, False, branch)
+                        queue.append(u)
+        return found
 
     def flow(self, target: int, most: int = 1 << 30) -> int:
-        """Edge-disjoint paths from the sources to the target: unit augmenting paths, breadth first."""
-        if target in self.sources:
+        """Edge-disjoint paths from the sources to the target, ``most`` at most: unit augmenting paths, breadth first."""
+        at = bisect_left(self.node, target)
+        if at == len(self.node) or self.node[at] != target or self.source[at]:
             return 0
         used: set[int] = set()
         leaving: dict[int, set[int]] = {}
         flow = 0
-        most = min(most, len(self.into.get(target, ())))
-        while flow < most and (path := self._path(target, used, leaving)) is not None:
-            for i, taken in path:
+        most = min(most, len(self.into.get(at, ())))
+        while flow < most and (paths := self._paths(at, used, leaving)):
+            for i, taken in chain.from_iterable(paths):
                 if taken:
                     used.add(i)
-                    leaving.setdefault(self.edges[i][0], set()).add(i)
+                    leaving.setdefault(self.tail[i], set()).add(i)
                 else:
                     used.discard(i)
-                    leaving[self.edges[i][0]].discard(i)
-            flow += 1
-        return flow
+                    leaving[self.tail[i]].discard(i)
+            flow += len(paths)
+        return min(flow, most)
 
 
-def min_cuts(edges: DataFrame, sources: DataFrame, targets: DataFrame, component: DataFrame) -> DataFrame:
-    """node, cut: edges to remove so that no source reaches the target (unit capacities), for each target."""
-    own = edges.join(component, F.col("src") == F.col("node")).select("component", "src", "dst", F.lit(0).alias("kind"))
-    marks = [x.join(component, "node").select("component", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(k).alias("kind")) for x, k in ((sources, 1), (targets, 2))]
+def min_cuts(edges: DataFrame, sources: DataFrame, targets: DataFrame, component: DataFrame | None = None) -> DataFrame:
+    """node, cut: edges to remove so that no source reaches the target (unit capacities), for each target.
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        goals = sorted(set(pdf["src"][pdf["kind"] == 2].tolist()))
-        if not goals:
-            return pd.DataFrame({"node": [], "cut": []}, dtype="int64")
-        e = pdf[pdf["kind"] == 0]
-        back = _Backward(list(zip(e["src"].tolist(), e["dst"].tolist(), strict=True)), set(pdf["src"][pdf["kind"] == 1].tolist()))
-        return pd.DataFrame([(t, back.flow(t)) for t in goals], columns=["node", "cut"])
-
-    return own.union(marks[0]).union(marks[1]).groupBy("component").applyInPandas(kernel, "node long, cut long")
+    Each task holds the graph once, as arrays, and takes its share of the targets, so a single component
+    is spread too. ``component`` (column node), if given, says which nodes count.
+    """
+    if component is not None:
+        edges = edges.join(component.select(F.col("node").alias("src")), "src", "left_semi")
+        sources, targets = (x.join(component.select("node"), "node", "left_semi") for x in (sources, targets))
+    goals = stored(targets.select(F.col("node").cast("long").alias("node")).where("node IS NOT NULL").distinct())
+    spark = goals.sparkSession
+    tasks = max(1, min(2 * spark.sparkContext.defaultParallelism, -(-goals.count() // TASK_TARGETS)))
+    graph = edges.select("src", "dst", F.lit(0).alias("kind")).union(sources.select("node", "node", F.lit(1))).where("src IS NOT NULL AND dst IS NOT NULL")
+    graph = stored(graph.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "kind"))
+    graph = graph.crossJoin(F.broadcast(spark.range(tasks).select(F.col("id").cast("int").alias("task")))).select("task", "src", "dst", "kind")
+    own = goals.select(F.pmod(F.xxhash64("node"), F.lit(tasks)).cast("int").alias("task"), "node", "node", F.lit(2).alias("kind"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list[np.ndarray]] = [[], [], []]
+        for batch in batches:
+            pairs = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], axis=1)
+            kind = batch.column(3).to_numpy(zero_copy_only=False)
+            for k in range(3):
+                rows[k].append(pairs[kind == k])
+        if any(map(len, rows[2])):
+            e, s, t = map(np.concatenate, rows)
+            rows.clear()
+            back = _Backward(e, s[:, 0])
+            goals = np.sort(t[:, 0]).tolist()
+            yield pa.record_batch([pa.array(goals, pa.int64()), pa.array([back.flow(t) for t in goals], pa.int64())], names=["node", "cut"])
+
+    return graph.union(own).repartitionById(tasks, F.col("task")).mapInArrow(run, "node long, cut long")

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from weftline.llm import repeats
+from weftline.llm import common, repeats
 
 
 def brute(texts, window):
@@ -89,3 +89,13 @@ def test_query_nulls_and_repeated_rows(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256 == empty) for r in rows) == [(0, 50, 50, True), (1, 50, 50, True), (1, 50, 50, True), (2, 1, 0, False), (3, 50, 0, False)]
     assert repeats.removed_repeats(docs.limit(0)).count() == 0
+
+
+def test_stored_steps_go_once_their_successor_is_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda session: f"file://{tmp_path}")
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = [f"a{i} {passage} b{i}" for i in range(20)] + [passage, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = repeats.without_repeats(docs)
+    assert [p.name.split("-")[1] for p in tmp_path.glob("weftline-*")] == ["spans"]
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {i: 0 if i > 20 else 60 for i in range(len(texts))}

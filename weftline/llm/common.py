@@ -60,6 +60,16 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes results of ``materialise`` that no later step reads: what was made from them must be stored by now."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("weftline-"):
+                jpath = jvm.org.apache.hadoop.fs.Path(folder)
+                jpath.getFileSystem(conf).delete(jpath, True)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of results that are no longer referenced."""
     import gc
@@ -145,4 +155,4 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-__all__ = ["F", "Remembered", "T", "U64", "arrow_schema", "doc_columns", "few_files", "map_arrow", "materialise", "mix", "read", "shared_dir", "slices", "spare", "text_key", "tidy", "with_text"]
+__all__ = ["F", "Remembered", "T", "U64", "arrow_schema", "discard", "doc_columns", "few_files", "map_arrow", "materialise", "mix", "read", "shared_dir", "slices", "spare", "text_key", "tidy", "with_text"]

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import F, U64, arrow_schema, doc_columns, materialise, mix, text_key, tidy
+from .common import F, U64, arrow_schema, discard, doc_columns, materialise, mix, text_key, tidy
 
 WINDOW = 35
 ROUNDS = 3  # of pairs, after the round of runs
@@ -231,12 +231,16 @@ def _same_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, key, a, n: stretches of n windows from a that occur elsewhere too. docs: doc_id, key, text."""
-    found = materialise(anchors(docs, window), "anchors")
-    rows = found.count()
+    """doc_id, key, a, n: stretches of n windows from a that occur elsewhere too (stored). docs: doc_id, key, text.
+
+    What is stored on the way goes as soon as its successor is stored, else its bytes would add up to the input's.
+    """
+    every = materialise(anchors(docs, window), "anchors")
+    rows = every.count()
     # stored, so that a symbol that is very common can be split between tasks where it is joined
-    often = materialise(found.groupBy("symbol").agg(F.sum("weight").alias("w")).where("w > 1").select("symbol"), "symbols", rows // 2)
-    found = materialise(found.join(often, "symbol"), "often")
+    often = materialise(every.groupBy("symbol").agg(F.sum("weight").alias("w")).where("w > 1").select("symbol"), "symbols", rows // 2)
+    found = materialise(every.join(often, "symbol"), "often")
+    discard(every, often)
     tidy(docs.sparkSession)
     contexts = found.groupBy("symbol", "context").agg(F.sum("weight").alias("weight"), F.min(F.struct("doc_id", "key", "a", "n")).alias("one"))
     contexts = materialise(contexts, "contexts")
@@ -245,18 +249,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     several = materialise(contexts.groupBy("symbol").count().where("count > 1").select("symbol"), "several", rows // 2)
     mixed = contexts.join(several, "symbol").select("one.*", "weight")
     mixed = mixed.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "n", "weight")).alias("want"))
+    tidy(docs.sparkSession)
     windows = materialise(_windows(_same_row(docs, mixed, "inner").select("doc_id", "key", "text", "want"), window), "windows")
+    discard(several)
     tidy(docs.sparkSession)
     twice = materialise(windows.groupBy("h", "check").agg(F.sum("weight").alias("w")).where("w > 1").select("h", "check"), "twice")
+    tidy(docs.sparkSession)
     single = windows.where("weight = 1").join(twice, ["h", "check"]).select("doc_id", "key", "a", F.lit(1).alias("n"))
-    return whole.union(single).distinct()
+    spans = materialise(whole.union(single).distinct(), "spans")
+    discard(found, contexts, windows, twice)
+    del whole, single, mixed
+    tidy(docs.sparkSession)
+    return spans
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) of every document."""
     keyed = doc_columns(docs).select("doc_id", text_key().alias("key"), "text")
     spans = repeated_spans(keyed, window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
-    rows = _same_row(keyed, materialise(spans, "spans"), "left").select("doc_id", "text", "spans")
+    rows = _same_row(keyed, spans, "left").select("doc_id", "text", "spans")
     ddl = "doc_id long, n_words long, n_removed long, kept string"
     schema = arrow_schema(ddl)
 

@@ -44,7 +44,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one of smallest doc_id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one of smallest doc_id.
+
+    Candidates come from op2's fingerprints and grid join, then from MinHash bands; the exact similarity decides.
+    """
     _short_batches(spark)
     return few_files(near_duplicates.one_of_each(docs, near_duplicates.similar(docs)))
 

@@ -42,3 +42,20 @@ def test_stage_links_similar_texts(spark):
     kept = corpus_pipeline.near_dedup(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert nd.similar(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_and_grid_join_name_candidates(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    texts = [None, " "] + [" ".join(["a"] * 300 + [word() for _ in range(12)]) for _ in range(2)]  # one fingerprint, few common shingles
+    for _ in range(12):
+        a = [word() for _ in range(400)]
+        texts += [" ".join(a), " ".join(a[:-1] + ["changed"])]
+    bits = lambda x, y: ((nd.simhash(x, 5) ^ nd.simhash(y, 5)) & (2**64 - 1)).bit_count()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert bits(texts[2], texts[3]) <= 2
+    near = [i for i in range(4, len(texts), 2) if bits(texts[i], texts[i + 1]) <= 2]
+    assert len(near) > 6
+    found = {r.doc_id: r.component_id for r in nd.similar(docs, bands=0).collect()}  # without MinHash
+    assert found == {i: 0 if i == 1 else i - 1 if i - 1 in near else i for i in range(len(texts))}
+    assert {r.doc_id: r.component_id for r in nd.similar(docs).collect()} == dict(enumerate(brute(texts, range(len(texts)))))

@@ -18,10 +18,12 @@
    in the shared folder.
 
 ``similar`` is for stages without a fingerprint contract: it links texts whose sets of
-five-word shingles have a Jaccard similarity of ``SIMILAR`` or more. MinHash bands (25 of
-5 rows: a pair at the limit shares none once in 20,000) name the candidates; of
-bands that bring the same texts together one goes on; the exact similarity
-decides, in chunks as above.
+five-word shingles have a Jaccard similarity of ``SIMILAR`` or more. Its candidates are first the
+components of fingerprints by steps 1 to 5 (of five-word shingles), where all texts of a component meet.
+Fingerprints of texts at the limit differ in about 10 bits, beyond any grid that would still
+tell texts apart, so MinHash bands (25 of 5 rows: a pair at the limit shares none once
+in 20,000) add the other candidates; of components and bands that bring the same texts together
+one goes on, a component first; the exact similarity decides, in chunks as above.
 
 Defined results: null or empty texts (no words) have fingerprint zero and link like
 any other; repeated rows keep one row each; a null doc_id stays null and
@@ -44,7 +46,7 @@ from .common import F, arrow_schema, doc_columns, materialise, mix, spare, text_
 SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CELL_ROWS = 1024
-SIMILAR = 0.8
+SIMILAR, WORDS = 0.8, 5
 BANDS, BAND_ROWS = 25, 5
 CELL_TEXTS = 512
 SEEN_KEYS = 200_000  # keys of texts that a task remembers
@@ -229,7 +231,7 @@ def components(docs: DataFrame, distance: int = 2) -> DataFrame:
     return fps.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingles(text: str | None, words_per_shingle: int = 5) -> np.ndarray:
+def shingles(text: str | None, words_per_shingle: int = WORDS) -> np.ndarray:
     """Ascending 64-bit hashes of a text's shingles; a shorter text is one shingle."""
     words = (text or "").encode().translate(LOWER).split()
     k = words_per_shingle
@@ -254,24 +256,30 @@ def _bands(x: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _band_rows(batches):
-    """The buckets of each text; a copy in the same task mostly goes with the first."""
+def _band_rows(bands: int):
+    """Each text's fingerprint (as band -1) and its buckets; a copy in the same task mostly goes with the first."""
     schema = arrow_schema("key long, band int, bucket long")
-    seen: set[int] = set()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            keys, buckets = [], []
-            for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    buckets.append(_bands(shingles(text.as_py())))
-            if len(seen) > SEEN_KEYS:
-                seen.clear()
-            if keys:
-                bands = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
-                yield pa.record_batch([pa.array(np.repeat(np.array(keys, np.int64), BANDS)), pa.array(bands), pa.array(np.concatenate(buckets))], schema=schema)
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                keys, buckets = [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        buckets.append([simhash(text.as_py(), WORDS)])
+                        if bands:
+                            buckets.append(_bands(shingles(text.as_py()))[:bands])
+                if len(seen) > SEEN_KEYS:
+                    seen.clear()
+                if keys:
+                    band = np.tile(np.arange(-1, bands, dtype=np.int32), len(keys))
+                    yield pa.record_batch([pa.array(np.repeat(np.array(keys, np.int64), bands + 1)), pa.array(band), pa.array(np.concatenate(buckets).astype(np.int64))], schema=schema)
+
+    return run
 
 
 def _similar_links(batches):
@@ -315,15 +323,21 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def similar(docs: DataFrame, cell_texts: int = CELL_TEXTS) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable over texts of similarity SIMILAR) of every row."""
+def similar(docs: DataFrame, cell_texts: int = CELL_TEXTS, bands: int = BANDS) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable over texts of similarity SIMILAR) of every row. bands: of MinHash, beside the fingerprints."""
     keyed = doc_columns(docs).select("doc_id", text_key().alias("key"), "text")
-    members = materialise(keyed.select("key", "text").mapInArrow(_band_rows, "key long, band int, bucket long").distinct(), "bands")
+    members = materialise(keyed.select("key", "text").mapInArrow(_band_rows(bands), "key long, band int, bucket long").distinct(), "bands")
     rows = members.count()
+    texts_most = rows // (bands + 1)
+    prints = members.where("band = -1").select("key", F.col("bucket").alias("fp"))
+    near = stars(links(materialise(prints.select("fp").distinct(), "distinct", texts_most)))
+    near = prints.join(near, prints.fp == near.node, "left").select("key", F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("bucket")).repartition("key")
+    members = members.where("band >= 0").unionByName(materialise(near, "components", texts_most))
+    tidy(docs.sparkSession)
     sizes = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("same")).where("n > 1")
     cells = sizes.groupBy("n", "same").agg(F.min(F.struct("band", "bucket")).alias("cell")).select("cell.*", "n")
     met = materialise(members.join(cells, ["band", "bucket"]), "met", rows)
-    texts = keyed.join(_few(materialise(met.select("key").distinct(), "keys", rows // BANDS)), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = keyed.join(_few(materialise(met.select("key").distinct(), "keys", texts_most)), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     met = met.withColumn("chunks", F.ceil(F.col("n") / cell_texts).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     met = met.select("band", "bucket", "key", "own", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
     met = met.select("band", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key").join(texts, "key")
@@ -331,7 +345,7 @@ def similar(docs: DataFrame, cell_texts: int = CELL_TEXTS) -> DataFrame:
     roots = stars(met.mapInArrow(_similar_links, "a long, b long"))
     tidy(docs.sparkSession)
     least = keyed.groupBy("key").agg(F.min("doc_id").alias("least"))
-    labelled = materialise(least.join(roots, least.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root")), "labelled", rows // BANDS)
+    labelled = materialise(least.join(roots, least.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root")), "labelled", texts_most)
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     return keyed.select("doc_id", "key").join(labelled.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
 
